@@ -17,7 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -46,6 +46,22 @@ def classes() -> np.ndarray:
     return table
 
 
+class Pairs:
+    """Which token each pair of tokens makes; tokens are numbered in the order of their merges."""
+
+    def __init__(self, merges: list[tuple[int, int, int]], n: int) -> None:
+        self.n = n
+        merges = sorted((a * n + b, c) for a, b, c in merges)
+        self.keys = np.array([k for k, _ in merges] or [-1], np.int64)
+        self.made = np.array([c for _, c in merges] or [NONE], np.int64)
+
+    def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The token that each pair makes, or NONE."""
+        key = a * self.n + b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.made[at], NONE)
+
+
 class Vocabulary:
     """The ranks of a tiktoken file, as arrays."""
 
@@ -59,11 +75,7 @@ class Vocabulary:
         self.sizes = np.array([len(self.tokens.get(i, b"")) for i in range(n)], np.int64)
         self.begins = np.concatenate(([0], np.cumsum(self.sizes)))
         self.bytes = np.frombuffer(b"".join(self.tokens.get(i, b"") for i in range(n)), np.uint8)
-        pairs = [(self.ranks[t[:k]] * n + self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
-        self.n = n
-        pairs.sort()
-        self.pair_keys = np.array([p for p, _ in pairs] or [-1], np.int64)
-        self.pair_ranks = np.array([r for _, r in pairs] or [NONE], np.int64)
+        self.pairs = Pairs([(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks], n)
         self.forget()
 
     def forget(self) -> None:
@@ -71,12 +83,6 @@ class Vocabulary:
         self.known_at = self.known_size = np.zeros(0, np.int64)
         self.known_ids = np.zeros(0, np.int32)
 
-    def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The token that each pair makes, or NONE."""
-        key = a * self.n + b
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NONE)
-
     def one_by_one(self, piece: bytes) -> list[int]:
         """The least-rank merge of one piece, again and again."""
         if piece in self.ranks:
@@ -120,12 +126,12 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(path, pattern)
 
 
-def replay(v: Vocabulary, data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """ids of all pieces, one after another, and each piece's place in them; a piece is data[begins[i]:begins[i + 1]]."""
-    n = len(data)
+def replay(v: Pairs, sym: np.ndarray, begins: np.ndarray, alone: Callable[[int], list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """ids of all pieces, one after another, and each piece's place in them. A piece is sym[begins[i]:begins[i + 1]], tokens of
+    single bytes, which are overwritten; alone(i) encodes a piece by itself."""
+    n = len(sym)
     if not n:
         return np.zeros(0, np.int64), np.zeros(len(begins), np.int64)
-    sym = v.byte_ids[data]
     after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
     word = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
     live = np.ones(n, bool)
@@ -191,7 +197,7 @@ def replay(v: Vocabulary, data: np.ndarray, begins: np.ndarray) -> tuple[np.ndar
     if redo:
         parts = np.split(ids, place[1:-1])
         for w in redo:
-            parts[w] = np.array(v.one_by_one(data[begins[w] : begins[w + 1]].tobytes()), np.int64)
+            parts[w] = np.array(alone(w), np.int64)
         place = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
         ids = np.concatenate(parts)
     return ids, place
@@ -254,7 +260,8 @@ def encode_block(v: Vocabulary, texts: list[bytes]) -> tuple[np.ndarray, np.ndar
     new[to == len(v.known)] = True
     at = at[new]
     sizes = ends[at] - starts[at]
-    ids, place = replay(v, gather(data, starts[at], sizes), np.concatenate(([0], np.cumsum(sizes))))
+    pieces, begins = gather(data, starts[at], sizes), np.concatenate(([0], np.cumsum(sizes)))
+    ids, place = replay(v.pairs, v.byte_ids[pieces], begins, lambda i: v.one_by_one(pieces[begins[i] : begins[i + 1]].tobytes()))
     v.known = np.insert(v.known, to[new], hashes[new])
     v.known_at = np.insert(v.known_at, to[new], place[:-1] + len(v.known_ids))
     v.known_size = np.insert(v.known_size, to[new], np.diff(place))

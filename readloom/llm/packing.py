@@ -1,6 +1,7 @@
 """Best-fit packing with certified bin counts.
 
-Documents become token ids and an end id; longer ones are cut into pieces of the capacity, the last being shorter. Pieces
+Documents become token ids and an end id (distinct words are merged together by the replay of `bytebpe`, and words out of the
+ordinary by the tokenizer itself); longer ones are cut into pieces of the capacity, the last being shorter. Pieces
 are dealt to partitions and each is packed by best-fit decreasing. Dual-feasible functions give a lower bound of the bins
 that a partition's pieces need; where it equals the bins used, the partition is certified and done. The partitions with
 a gap exchange documents: what lies in their bins that are not full is dealt anew to half as many partitions and packed
@@ -14,6 +15,7 @@ table gives an empty result. Only the id and text columns are read.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -25,9 +27,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import cut, small_batches
+from readloom.llm.bytebpe import NUMBER, Pairs, classes, replay
+from readloom.llm.common import as_bytes, blocks, cut, segment_hashes, small_batches, words
 
 CAPACITY, END_ID, PART = 4096, 1, 50_000
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECE + ", part long, round int, bin long, offset long, filled long, gap int"
 
@@ -42,21 +46,142 @@ def tokenizer(path: str):
     return t
 
 
+PLAIN = np.array([0x20 < c < 0x250 and c not in (0x27, 0x7F, 0x130) and not 0x80 <= c <= 0xA0 and c != 0xAD for c in range(0x251)])
+"""Code points whose lower case is one code point and that are normal as they are; no white space, control or apostrophe."""
+
+
+@lru_cache(2)
+def word_merges(path: str) -> tuple[Pairs, np.ndarray, np.ndarray] | None:
+    """The merges of a byte-level BPE file with word ends, and the tokens of a byte within and at the end of a piece; None if
+    the file is not of the kind whose tokens are numbered in the order of their merges and whose pieces are known here."""
+    with open(path) as f:
+        spec = json.load(f)
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    vocab, end = model["vocab"], model.get("end_of_word_suffix") or ""
+    steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+    splits = [x.get("pattern", {}).get("Regex") for x in before.get("pretokenizers", [])]
+    if model["type"] != "BPE" or not end or steps != ["NFC", "Replace", "Lowercase"] or splits != [WORD_PATTERN, None]:
+        return None
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256
+    char = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in shown)}
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    made = [vocab[a + b] for a, b in merges]
+    if any(x >= y for x, y in zip(made, made[1:])):
+        return None
+    pairs = Pairs([(vocab[a], vocab[b], m) for (a, b), m in zip(merges, made)], len(vocab) + 2)
+    return pairs, np.array([vocab[char[b]] for b in range(256)], np.int64), np.array([vocab[char[b] + end] for b in range(256)], np.int64)
+
+
+class WordIds:
+    """Ids of the words of texts. White space always separates what this kind of tokenizer joins, so each distinct word between
+    ASCII white space is tokenized once a task, and occurrences find it by hash, length and sum of bytes."""
+
+    KNOWN = 1 << 19
+
+    def __init__(self, path: str) -> None:
+        self.tokenizer = tokenizer(path)
+        self.merges = word_merges(path)
+        self.forget()
+
+    def _new(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of words, one after another, and how many each has. Words of plain Latin letters, digits and marks are merged
+        together; any other goes through the tokenizer."""
+        plain = np.zeros(len(texts), bool)
+        if self.merges is not None and texts:
+            cp = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le"), np.uint32)
+            ends = np.flatnonzero(cp == 10)
+            odd = ~PLAIN[np.minimum(cp, 0x250)]
+            odd[ends] = False
+            plain = np.diff(np.concatenate(([0], np.cumsum(odd)[ends]))) == 0
+        got = self.tokenizer.encode_batch_fast([t for t, p in zip(texts, plain) if not p], add_special_tokens=False)
+        sizes = np.zeros(len(texts), np.int64)
+        sizes[~plain] = [len(g.ids) for g in got]
+        rest = np.fromiter((x for g in got for x in g.ids), np.uint32, int(sizes.sum()))
+        if not plain.any():
+            return rest, sizes
+        ids, counts = self._merge([t for t, p in zip(texts, plain) if p])
+        sizes[plain] = counts
+        out = np.zeros(int(sizes.sum()), np.uint32)
+        which = np.repeat(plain, sizes)
+        out[which], out[~which] = ids, rest
+        return out, sizes
+
+    def _merge(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        pairs, inner, last = self.merges
+        joined = "\n".join([*texts, ""]).lower()
+        cp = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        kind, wall = classes()[cp], cp == 10
+        data = np.frombuffer(joined.encode(), np.uint8)
+        lead = np.flatnonzero((data & 0xC0) != 0x80)
+        new = np.ones(len(cp), bool)
+        new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER) | wall[:-1]
+        owner = (np.cumsum(wall) - wall)[new & ~wall]
+        marks = lead[new]
+        sizes = np.diff(np.append(marks, len(data)))[~wall[new]]
+        begins = np.concatenate(([0], np.cumsum(sizes)))
+        data = data[data != 10]
+        sym = inner[data]
+        sym[begins[1:] - 1] = last[data[begins[1:] - 1]]
+        ids, place = replay(pairs, sym, begins, lambda i: self.tokenizer.encode(data[begins[i] : begins[i + 1]].tobytes().decode(), add_special_tokens=False).ids)
+        return ids.astype(np.uint32), np.bincount(owner, np.diff(place), len(texts)).astype(np.int64)
+
+    def forget(self) -> None:
+        self.hashes = np.zeros(0, np.uint64)
+        self.at = self.size = self.bytes = self.sums = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all texts, one after another, and each text's place in them."""
+        if len(self.hashes) > self.KNOWN:
+            self.forget()
+        cuts = np.cumsum([0, *map(len, texts)])
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        starts, ends = words(data, cuts)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+        total = np.concatenate(([0], np.cumsum(data, dtype=np.int64)))
+        length, sums = ends - starts, total[ends] - total[starts]
+        found, first, of = np.unique(segment_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        to = np.searchsorted(self.hashes, found)
+        new = np.append(self.hashes, np.uint64(0))[to] != found
+        new[to == len(self.hashes)] = True
+        if new.any():
+            i = first[new]
+            raw = data.tobytes()
+            got, sizes = self._new([raw[s:e].decode() for s, e in zip(starts[i].tolist(), ends[i].tolist())])
+            at = len(self.ids) + np.cumsum(sizes) - sizes
+            self.ids = np.concatenate((self.ids, got))
+            self.hashes = np.insert(self.hashes, to[new], found[new])
+            for name, x in (("at", at), ("size", sizes), ("bytes", length[i]), ("sums", sums[i])):
+                setattr(self, name, np.insert(getattr(self, name), to[new], x))
+        of = np.searchsorted(self.hashes, found)[of]
+        owner = np.searchsorted(cuts, starts, side="right") - 1
+        sizes = self.size[of]
+        place = np.concatenate(([0], np.cumsum(np.bincount(owner, sizes, len(texts)).astype(np.int64))))
+        end = np.cumsum(sizes)
+        ids = self.ids[np.repeat(self.at[of] - (end - sizes), sizes) + np.arange(int(end[-1]))]
+        if ((self.bytes[of] != length) | (self.sums[of] != sums)).any():  # two words of one hash
+            plain = [self.tokenizer.encode(t.decode(), add_special_tokens=False).ids for t in texts]
+            return np.array([x for p in plain for x in p], np.uint32), np.cumsum([0, *map(len, plain)])
+        return ids, place
+
+
 def _pieces(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path)
+        known = WordIds(path)
         for b in batches:
-            texts = [x or "" for x in b.column(1).to_pylist()]
-            rows: list[list] = [[] for _ in range(5)]
-            for at in range(0, len(texts), 64):
-                for doc, e in zip(b.column(0)[at : at + 64].to_pylist(), t.encode_batch_fast(texts[at : at + 64], add_special_tokens=False)):
-                    ids = np.array([*e.ids, end_id], "<u4")
-                    for k, s in enumerate(range(0, len(ids), capacity)):
-                        part = ids[s : s + capacity]
-                        for col, x in zip(rows, (doc, k, s, len(part), zlib.crc32(part.tobytes()))):
+            texts = as_bytes(b.column(1))
+            for s, e in blocks([len(t) for t in texts]):
+                flat, place = known.encode(texts[s:e])
+                rows: list[list] = [[] for _ in range(5)]
+                for k, doc in enumerate(b.column(0)[s:e].to_pylist()):
+                    ids = np.append(flat[place[k] : place[k + 1]], np.uint32(end_id)).astype("<u4")
+                    for piece, at in enumerate(range(0, len(ids), capacity)):
+                        part = ids[at : at + capacity]
+                        for col, x in zip(rows, (doc, piece, at, len(part), zlib.crc32(part.tobytes()))):
                             col.append(x)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
 
