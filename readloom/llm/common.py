@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 """Bytes of text that one numpy pass takes; a longer document is a block of its own."""
 BROADCAST_ROWS = 1_000_000
 """Rows of 8-byte ids up to which a counted table is broadcast; beyond it Spark joins by shuffle."""
@@ -92,6 +93,27 @@ class Powers:
 POWERS = Powers()
 
 
+def release() -> None:
+    """Gives memory that a finished task no longer uses back to the system, as Python workers are kept for later tasks."""
+    POWERS.up = POWERS.down = np.ones(1, np.uint64)
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run over a partition's batches, then `release`."""
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied
+
+
 def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each data[start:end], from one running sum over all bytes."""
     up, down = POWERS.to(len(data) + 1)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import scratch, small_batches
+from readloom.llm.common import scratch, small_batches, tidy
 
 KEYS = ("source", "lang", "tokenizer_version")
 DELTA = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
@@ -52,7 +52,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, text_col: str = "text
     from pyspark.sql.types import StructType
 
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, StructType([docs.schema.fields[i] for i in kept]).add(out, "long"))
+    return docs.mapInArrow(tidy(run), StructType([docs.schema.fields[i] for i in kept]).add(out, "long"))
 
 
 def signed(changes: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from readloom.llm.common import blocks, small_batches
+from readloom.llm.common import blocks, small_batches, tidy
 
 BITS, ORDERS = 16, 3
 PER_LANG, MAX_LANGS, LANDMARKS, RIDGE = 300, 200, 32, 1e-3
@@ -154,7 +154,7 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
     ids = ready.where(F.col(lang_col).isin(names)).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(id_col).alias("h"))
     chosen = ids.where("id is not null").withColumn("n", F.row_number().over(row)).where(F.col("n") <= per_lang).select("id").distinct()
     texts = ready.where(F.col(lang_col).isin(names)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    got = texts.join(F.broadcast(chosen), "id").where("text is not null").dropDuplicates(["id"]).select("lang", "text").mapInArrow(_sets, "lang string, ngrams array<int>").collect()
+    got = texts.join(F.broadcast(chosen), "id").where("text is not null").dropDuplicates(["id"]).select("lang", "text").mapInArrow(tidy(_sets), "lang string, ngrams array<int>").collect()
     got = sorted((r for r in got if len(r[1])), key=lambda r: (r[0], len(r[1]), r[1]))
     order = np.random.default_rng(0).permutation(len(got))  # landmarks of all sizes
     return fit_sets([got[i][0] for i in order], [np.array(got[i][1], np.int64) for i in order])
@@ -175,7 +175,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", pred: str = "
 
     kept = [i for i in range(len(docs.columns)) if keep_text or i != at]
     schema = StructType([docs.schema.fields[i] for i in kept]).add(pred, "string").add(score, "double")
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import as_bytes, blocks, cut, small_batches
+from readloom.llm.common import as_bytes, blocks, cut, small_batches, tidy
 
 RATE, UNIT, MULAW_TAG, PCM_TAG = 8000, 64, 7, 1
 # Fixed values of the IMA ADPCM format: step sizes, and how a code moves the step.
@@ -109,7 +109,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([wave(payload(t)) for t in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, n_bytes long, media binary")
 
 
 def pcm16k(stored: DataFrame, media_col: str = "media", out_col: str = "pcm") -> DataFrame:
@@ -123,7 +123,7 @@ def pcm16k(stored: DataFrame, media_col: str = "media", out_col: str = "pcm") ->
 
     from pyspark.sql.types import StructType
 
-    return stored.mapInArrow(run, StructType([*stored.schema.fields]).add(out_col, "binary"))
+    return stored.mapInArrow(tidy(run), StructType([*stored.schema.fields]).add(out_col, "binary"))
 
 
 def describe(data: list[bytes]) -> list[str]:
@@ -155,7 +155,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def features(stored: DataFrame) -> DataFrame:
-    return stored.mapInArrow(_features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return stored.mapInArrow(tidy(_features), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:

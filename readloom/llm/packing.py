@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.llm.bytebpe import NUMBER, Pairs, classes, replay
-from readloom.llm.common import as_bytes, blocks, cut, segment_hashes, small_batches, words
+from readloom.llm.common import as_bytes, blocks, cut, segment_hashes, small_batches, tidy, words
 
 CAPACITY, END_ID, PART = 4096, 1, 50_000
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -188,7 +188,7 @@ def _pieces(path: str, capacity: int, end_id: int):
 
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_pieces(path, capacity, end_id), PIECE)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(_pieces(path, capacity, end_id)), PIECE)
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:

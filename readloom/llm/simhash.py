@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import as_bytes, bounded, components, cut, small_batches, unite
+from readloom.llm.common import as_bytes, bounded, components, cut, small_batches, tidy, unite
 
 RADIUS, SEED, SHINGLE, TILE, HOT = 3, 42, 3, 512, 20_000
 
@@ -57,7 +57,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long)."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(_fingerprints), "doc_id long, fp long")
 
 
 def tile_links(fps: np.ndarray, parent: np.ndarray) -> None:
@@ -142,7 +142,7 @@ def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
         other = F.explode(F.when(F.col("n") > 1, F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array(F.lit(-1))))
         wide = wide.withColumn("s", slice_).select("*", other.alias("o"))
         keyed = wide.select(F.when(F.col("o") < 0, F.col("key")).otherwise(F.xxhash64("key", F.least("s", "o"), F.greatest("s", "o"))).alias("key"), "fp")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "u long, v long")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_links), "u long, v long")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
