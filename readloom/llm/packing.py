@@ -4,8 +4,8 @@ Documents become token ids and an end id (distinct words are merged together by
 ordinary by the tokenizer itself); longer ones are cut into pieces of the capacity, the last being shorter. Pieces
 are dealt to partitions and each is packed by best-fit decreasing. Dual-feasible functions give a lower bound of the bins
 that a partition's pieces need; where it equals the bins used, the partition is certified and done. The partitions with
-a gap exchange documents: what lies in their bins that are not full is dealt anew to half as many partitions and packed
-again, until none has a gap or one partition is left. Full bins stay. Partitions hold PART pieces on average, however
+a gap exchange documents: what lies in their bins that are not full, and in the emptiest bin of the others, is dealt anew
+to half as many partitions or fewer and packed again, until no bin is open or one partition is left. Full bins stay. Partitions hold PART pieces on average, however
 large the input, so a task's memory is bounded; the last round's single partition begins only when at most PART
 pieces are open, and otherwise open pieces stay as they are packed once rounds bring no fewer bins.
 
@@ -33,7 +33,7 @@ from readloom.llm.common import as_bytes, blocks, cut, segment_hashes, small_bat
 CAPACITY, END_ID, PART = 4096, 1, 50_000
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PLACED = PIECE + ", part long, round int, bin long, offset long, filled long, gap int"
+PLACED = PIECE + ", part long, round int, bin long, offset long, filled long, gap int, tail boolean"
 
 
 @lru_cache(2)
@@ -240,6 +240,7 @@ def _pack(capacity: int):
         bins, offsets = best_fit_decreasing(lengths, capacity)
         filled = np.bincount(bins, lengths).astype(np.int64)
         p["bin"], p["offset"], p["filled"], p["gap"] = bins, offsets, filled[bins], len(filled) - lower_bound(lengths, capacity)
+        p["tail"] = bins == int(filled.argmin())
         return p[[x.split()[0] for x in PLACED.split(", ")]]
 
     return run
@@ -253,11 +254,11 @@ def pack(found: DataFrame, capacity: int = CAPACITY, part: int = PART, keep: str
         key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(number)), F.lit(parts))
         dealt = open_.select(*[x.split()[0] for x in PIECE.split(", ")], key.cast("long").alias("part"), F.lit(number).alias("round"))
         packed = cut(dealt.groupBy("part").applyInPandas(_pack(capacity), PLACED), "packed")
-        state = packed.where("gap > 0").agg(F.countDistinct("part", "bin").alias("bins"), F.sum((F.col("filled") < capacity).cast("long")).alias("open"), F.countDistinct("part").alias("parts")).first()
+        again = ((F.col("gap") > 0) | F.col("tail")) & (F.col("filled") < capacity)
+        state = packed.where(again).agg(F.countDistinct("part", "bin").alias("bins"), F.count("*").alias("open"), F.countDistinct("part").alias("parts")).first()
         if parts == 1 or not state["parts"] or (last is not None and state["bins"] >= last and state["open"] > part):
             done.append(packed)
             break
-        again = (F.col("gap") > 0) & (F.col("filled") < capacity)
         done.append(packed.where(~again))
         open_, last, number = packed.where(again), state["bins"], number + 1
         parts = max(1, min(-(-state["open"] // part), -(-state["parts"] // 2)))
