@@ -118,6 +118,28 @@ def test_passages(docs, none):
     assert substrings.passages(none).count() == 0
 
 
+def test_verify_finds_all_that_is_shared():
+    """Every stretch of min_words that the other document holds is in a passage, whatever lies around it and however the spans are ordered."""
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        theirs = rng.integers(1, 2**62, 400).astype(np.uint64)
+        mine = theirs.copy()
+        changed = rng.integers(0, 400, 12)
+        for i in changed:
+            mine[i : i + 5] = rng.integers(1, 2**62, len(mine[i : i + 5]))
+        spans = [{"fn": int(rng.integers(0, 4)), "c": 0, "l": int(x), "r": int(x) + 120, "rc": 0, "rl": 0, "rr": 399} for x in rng.integers(0, 279, 40)]
+        spans += [{"fn": i, "c": 0, "l": 0, "r": 399, "rc": 0, "rl": 0, "rr": 399} for i in range(2)]
+        found = substrings.verify(mine, theirs, spans, 0, 50, 2, 0.8)
+        assert found == substrings.verify(mine, theirs, spans[::-1], 0, 50, 2, 0.8)
+        got = {i for s, e, _ in found for i in range(s, e + 1)}
+        known = set(theirs.tolist())
+        for i in range(400 - 45):
+            if all(x in known for x in mine[i : i + 46].tolist()):
+                assert got >= set(range(i, i + 50))
+        assert all(e - s + 1 >= 50 and sim >= 0.8 for s, e, sim in found)
+    assert substrings.verify(mine[:0], theirs, [], 0, 50, 2, 0.8) == []
+
+
 def test_knn(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(size=6).round(1)]) for i in range(300)]
