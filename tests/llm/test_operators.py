@@ -154,6 +154,19 @@ def test_knn(spark):
     assert knn.top_k(knn.integer_vectors(df.where("false"), "vec_id", "embedding"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_knn_repeated_query_rows(spark):
+    """Rows of a query's own id, as many as there are, do not crowd out what belongs to its result."""
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(size=6).round(2)]) for i in range(200)]
+    rows += [(i, v) for i, v in rows if i % 50 == 0] * 8 + [(7, rows[7][1])] * 3
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = knn.top_k(knn.integer_vectors(df, "vec_id", "embedding"), F.col("vec_id") % 50 == 0).collect()
+    fine = [(i, np.floor(256 * np.array(v))) for i, v in rows]
+    for q in range(0, 200, 50):
+        want = sorted((-int(fine[q][1] @ y), i) for i, y in fine if i != q)[:5]
+        assert [(-r["score"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == want
+
+
 def test_bytebpe(docs, none):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     v = bytebpe.vocabulary(path, public_tokenizers.PATTERN)
