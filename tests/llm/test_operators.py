@@ -118,6 +118,22 @@ def test_passages(docs, none):
     assert substrings.passages(none).count() == 0
 
 
+def test_passages_past_a_signatures_first(spark):
+    """A passage that documents share is found though each of its shingles, or all but the smallest, is first in an unrelated earlier document."""
+    rng = random.Random(11)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passages = [words(55) for _ in range(4)]
+    rows = []
+    for n, p in enumerate(passages):
+        smallest = substrings.mix((substrings._hashed(" ".join(p).encode())[2] | np.uint64(1 << 63)) ^ substrings.mix(np.array([0x9E3779B97F4A7C15], np.uint64))[0]).argmin()
+        for i in (i for i in range(len(p) - 4) if n % 2 or i != smallest):  # one earlier document a shingle, in another context
+            rows.append((1000 * n + i, " ".join(words(50) + p[i : i + 5] + words(50))))
+        rows += [(1000 * n + 100 + i, " ".join(words(60) + p + words(60))) for i in range(3)]
+    found = substrings.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {(r["first_doc_id"], r["doc_id"]) for r in found if r["start_word"] <= 60 and r["end_word"] >= 114}
+    assert got >= {(1000 * n + 100, 1000 * n + 100 + i) for n in range(4) for i in (1, 2)}
+
+
 def test_verify_finds_all_that_is_shared():
     """Every stretch of min_words that the other document holds is in a passage, whatever lies around it and however the spans are ordered."""
     rng = np.random.default_rng(5)
