@@ -134,6 +134,23 @@ def test_passages_past_a_signatures_first(spark):
     assert got >= {(1000 * n + 100, 1000 * n + 100 + i) for n in range(4) for i in (1, 2)}
 
 
+@pytest.mark.parametrize("sides, gone, new", [(49, 0, 6), (49, 6, 0), (45, 0, 10), (45, 10, 0), (40, 0, 6), (40, 6, 0), (49, 6, 6), (60, 0, 20)])
+def test_verify_finds_passages_with_a_changed_run(sides, gone, new):
+    """Two sides of a passage, between which the later document lacks `gone` words and has `new` others, are one passage if similar enough."""
+    words = lambda n: [f"w{RNG.randrange(10**6)}" for _ in range(n)]
+    shingles = lambda ws: substrings._hashed(" ".join(ws).encode())[2]
+    one, two = words(sides), words(sides)
+    first, later = one + words(gone) + two, one + words(new) + two
+    x, y = (set(shingles(w).tolist()) for w in (first, later))
+    assert len(x & y) / len(x | y) >= 0.8
+    phrase = words(7)
+    for around in (0, 300):
+        mine, theirs = (shingles(words(around) + phrase + words(12) + w + words(around)) for w in (later, first))
+        spans = [{"fn": i, "c": 0, "l": 0, "r": len(mine) - 1, "rc": 0, "rl": 0, "rr": len(theirs) - 1} for i in range(2)]
+        found = substrings.verify(mine, theirs, spans, 0, 50, 2, 0.8)
+        assert [(s, e) for s, e, _ in found] == [(around + 19, around + 19 + len(later) - 1)] and found[0][2] >= 0.8
+
+
 def test_verify_finds_all_that_is_shared():
     """Every stretch of min_words that the other document holds is in a passage, whatever lies around it and however the spans are ordered."""
     rng = np.random.default_rng(5)
