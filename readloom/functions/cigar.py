@@ -32,8 +32,14 @@ def relative_blocks(ops: Column) -> Column:
     return F.aggregate(ops, zero, step, lambda acc: acc["out"])
 
 
+def covered(cigar: Column) -> Column:
+    """relative_blocks of a CIGAR's text; one match from end to end, as most reads have, needs no parsing."""
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("s"), F.substring(cigar, F.lit(1), F.length(cigar) - 1).cast("long").alias("e")))
+    return F.when(F.translate(cigar, "0123456789", "") == "M", whole).otherwise(relative_blocks(parse(cigar)))
+
+
 def blocks(aln: DataFrame) -> DataFrame:
-    """aln with s, e: a row per covered stretch, 0-based half-open. Each distinct CIGAR is parsed once; the table of them is
-    joined as its size allows."""
-    parsed = aln.select("cigar").where("cigar is not null").distinct().select("cigar", F.explode(relative_blocks(parse(F.col("cigar")))).alias("b"))
-    return aln.join(parsed, "cigar").select(*[F.col(c) for c in aln.columns], (F.col("pos") - 1 + F.col("b.s")).alias("s"), (F.col("pos") - 1 + F.col("b.e")).alias("e"))
+    """aln with s, e: a row per covered stretch, 0-based half-open. Each read is walked where it is; there is no join by CIGAR,
+    of which one may be that of most reads."""
+    found = aln.select("*", F.explode(covered(F.col("cigar"))).alias("__b"))
+    return found.select(*aln.columns, (F.col("pos") - 1 + F.col("__b.s")).alias("s"), (F.col("pos") - 1 + F.col("__b.e")).alias("e"))

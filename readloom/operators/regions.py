@@ -1,26 +1,50 @@
-"""Regions: the first interval that holds a record's start, batches by region, overlap queries."""
+"""Regions: the first interval that holds a record's start, batches by region, overlap queries.
+
+Points and runs meet intervals in bins of fixed width: both sides are dealt by contig and bin, so that a contig is the work
+of many tasks and a row meets only the intervals near it.
+"""
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readloom.functions.params import CHAIN, Interval, intervals, is_unmapped, usable
 
+BIN = 1 << 14
+"""Positions of a bin."""
+
 
-def region_table(spark, header: DataFrame, regions: Iterable[Interval]) -> DataFrame:
-    """interval_ord, ref_id, start, end, label of usable regions on known contigs."""
-    rows = [(i, r.seqname, r.start, r.end, r.label) for i, r in enumerate(usable(regions))]
-    table = spark.createDataFrame(rows, "interval_ord int, seqname string, start long, end long, label string")
-    return table.join(header.select("ref_id", "seqname"), "seqname").select("interval_ord", "ref_id", "start", "end", "label")
+def first_of(regions: Iterable[Interval]) -> list[tuple[str, int, int, str]]:
+    """Disjoint (seqname, start, end, label), 1-based closed: each position's first region in the caller's order."""
+    out: list[tuple[str, int, int, str]] = []
+    by_name: dict[str, list[tuple[int, Interval]]] = {}
+    for i, r in enumerate(regions):
+        by_name.setdefault(r.seqname, []).append((i, r))
+    for name, given in by_name.items():
+        given.sort(key=lambda x: x[1].start)
+        edges = sorted({p for _, r in given for p in (r.start, r.end + 1)})
+        open_: list[tuple[int, int, str]] = []
+        at = 0
+        for s, e in zip(edges, edges[1:]):
+            while at < len(given) and given[at][1].start <= s:
+                heapq.heappush(open_, (given[at][0], given[at][1].end, given[at][1].label))
+                at += 1
+            while open_ and open_[0][1] < s:
+                heapq.heappop(open_)
+            if open_:
+                out.append((name, s, e - 1, open_[0][2]))
+    return out
 
 
-def label_regions(aln: DataFrame, header: DataFrame, regions: Iterable[Interval], chain: int = CHAIN) -> DataFrame:
+def label_regions(aln: DataFrame, header: DataFrame, regions: Iterable[Interval], chain: int = CHAIN, width: int = BIN) -> DataFrame:
     """Mapped records that start in a region, with which_label: the first such region in the caller's order. If no region
-    is usable there is no filter, and the label is `*`."""
+    is usable there is no filter, and the label is `*`. Beyond `chain` regions, they become disjoint pieces, so that a record
+    meets at most one by a join and none twice."""
     ready = usable(intervals(regions))
     if not ready:
         return aln.withColumn("which_label", F.lit("*"))
@@ -33,11 +57,15 @@ def label_regions(aln: DataFrame, header: DataFrame, regions: Iterable[Interval]
         tests = [((F.col("ref_id") == ids[r.seqname]) & F.col("pos").between(r.start, r.end), r.label) for r in known]
         label = reduce(lambda acc, t: acc.when(t[0], t[1]), tests[1:], F.when(*tests[0]))
         return mapped.withColumn("which_label", label).where("which_label is not null")
-    table = region_table(aln.sparkSession, header, ready).select(F.col("ref_id").alias("__ref"), "interval_ord", "start", "end", F.col("label").alias("which_label"))
-    spots = mapped.select("ref_id", "pos").distinct()
-    first = spots.join(table, (F.col("ref_id") == F.col("__ref")) & F.col("pos").between(F.col("start"), F.col("end")))
-    first = first.groupBy("ref_id", "pos").agg(F.min_by("which_label", "interval_ord").alias("which_label"))
-    return mapped.join(first, ["ref_id", "pos"])
+    table = aln.sparkSession.createDataFrame(first_of(ready), "seqname string, __s long, __e long, which_label string").join(header.select(F.col("ref_id").alias("__ref"), "seqname"), "seqname")
+    table = table.select("__ref", "__s", "__e", "which_label", F.explode(F.sequence(_bin("__s", width), _bin("__e", width))).alias("__bin"))
+    near = mapped.withColumn("__at", _bin("pos", width))
+    hit = near.join(table, (F.col("ref_id") == F.col("__ref")) & (F.col("__at") == F.col("__bin")) & F.col("pos").between(F.col("__s"), F.col("__e")))
+    return hit.select(*aln.columns, "which_label")
+
+
+def _bin(c: str | Column, width: int) -> Column:
+    return F.floor((F.col(c) if isinstance(c, str) else c) / width)
 
 
 def region_batches(aln: DataFrame, header: DataFrame, regions: Iterable[Interval]) -> DataFrame:
@@ -48,7 +76,12 @@ def region_batches(aln: DataFrame, header: DataFrame, regions: Iterable[Interval
     return labels.join(label_regions(aln, header, given), "which_label", "left")
 
 
-def overlap_query(runs: DataFrame, queries: DataFrame) -> DataFrame:
-    """Runs (ref_id, start, end, value) that overlap queries (query, ref_id, qs, qe), 0-based half-open."""
-    q = queries.withColumnRenamed("ref_id", "__ref")
-    return runs.join(q, (F.col("ref_id") == F.col("__ref")) & (F.col("end") > F.col("qs")) & (F.col("start") < F.col("qe"))).drop("__ref")
+def overlap_query(runs: DataFrame, queries: DataFrame, width: int = BIN) -> DataFrame:
+    """Runs (ref_id, start, end, value) that overlap queries (query, ref_id, qs, qe), 0-based half-open. A pair meets in every bin
+    that both touch and is taken in the first of them."""
+    q = queries.withColumnRenamed("ref_id", "__ref").withColumn("__from", _bin("qs", width))
+    q = q.withColumn("__qbin", F.explode(F.sequence("__from", _bin(F.greatest(F.col("qe") - 1, F.col("qs")), width))))
+    r = runs.where("start < end").withColumn("__first", _bin("start", width))
+    r = r.withColumn("__bin", F.explode(F.sequence("__first", _bin(F.col("end") - 1, width))))
+    same = (F.col("ref_id") == F.col("__ref")) & (F.col("__bin") == F.col("__qbin")) & (F.col("__bin") == F.greatest("__first", "__from"))
+    return r.join(q, same & (F.col("end") > F.col("qs")) & (F.col("start") < F.col("qe"))).drop("__ref", "__from", "__qbin", "__first", "__bin")

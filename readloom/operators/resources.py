@@ -26,6 +26,18 @@ def detect_cores() -> int:
     return 1
 
 
+def thread_count(threads: object, most: int | None = None) -> int:
+    """threads between 1 and the most there are; anything that is no such number is 1."""
+    if not isinstance(threads, int) or isinstance(threads, bool) or threads <= 1:
+        return 1
+    return min(threads, most or detect_cores())
+
+
+def worker_count(workers: object) -> int:
+    """How many files at once; anything but a number of 1 or more is 1."""
+    return workers if isinstance(workers, int) and not isinstance(workers, bool) and workers >= 1 else 1
+
+
 def parallel_plan(threads: int, workers: int | None = None, auto_threads: bool = False, n_files: int = 1, cores: int | None = None) -> tuple[int, int]:
     """(threads of a file, files at once). With auto_threads the product stays within the cores."""
     if not isinstance(threads, int) or isinstance(threads, bool) or threads < 1:
@@ -34,7 +46,7 @@ def parallel_plan(threads: int, workers: int | None = None, auto_threads: bool =
         raise ValueError("auto_threads must be True or False")
     if workers is None:
         return threads, 1
-    at_once = min(max(1, workers), max(1, n_files))
+    at_once = min(worker_count(workers), max(1, n_files))
     if not auto_threads or at_once == 1:
         return threads, at_once
     have = cores or detect_cores()

@@ -11,7 +11,7 @@ from readloom.functions import cigar as cigars
 from readloom.functions.decode import decode_qual, decode_seq, decode_seqqual
 from readloom.functions.intervals import overlap_length as shared_bases
 from readloom.functions.params import ScanParam, is_unmapped
-from readloom.operators import aggregate, coverage, pairs, project, regions, runs
+from readloom.operators import aggregate, compare, coverage, pairs, project, regions, runs
 from readloom.plans import views
 from readloom.plans.views import WITH
 
@@ -89,7 +89,7 @@ def cigar_roundtrip(aln, header):
 
 @query(BLOCKS + " SELECT ref_id, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e, CAST(count(*) AS BIGINT) AS n FROM blk WHERE s < e GROUP BY 1, 2, 3")
 def cigar_blocks(aln, header):
-    return coverage.cigar_blocks(aln, header).groupBy("ref_id", "s", "e").agg(F.sum("n").cast("long").alias("n"))
+    return coverage.cigar_blocks(aln, header).groupBy("ref_id", "s", "e").agg(F.count("*").alias("n"))
 
 
 @query(" SELECT qname, CAST(flag AS INTEGER) AS flag, mapq FROM aln WHERE (flag & 65) = 65 AND (flag & 1540) = 0")
@@ -245,11 +245,55 @@ def histogram_diff(aln, header):
 
 @query(f" SELECT file, seqname, CAST(count(a.ref_id) AS BIGINT) AS count FROM (SELECT DISTINCT file FROM aln) CROSS JOIN hdr LEFT JOIN (SELECT file, ref_id FROM aln WHERE NOT {LOST}) a USING (file, ref_id) GROUP BY 1, 2")
 def multi_file_count(aln, header):
-    """Per file, as a scan of several files counts: every contig of the header for each."""
-    files = aln.select("file").distinct()
-    counts = aln.where(~is_unmapped()).groupBy("file", "ref_id").agg(F.count("*").alias("count"))
-    every = files.withColumn("__h", F.lit(1)).join(header.withColumn("__h", F.lit(1)), "__h")
-    return every.join(counts, ["file", "ref_id"], "left").select("file", "seqname", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
+    """Every contig of the header for each file."""
+    return aggregate.count_by_contig(aln, header, ScanParam(include_unmapped=False), by=["file"]).drop("seqlength")
+
+
+@query(" SELECT file, abs(CAST(isize AS BIGINT)) AS fragment_size, CAST(count(*) AS BIGINT) AS count FROM aln WHERE (flag & 8) = 0 GROUP BY 1, 2")
+def multi_file_fragment_sizes(aln, header):
+    return aggregate.fragment_sizes(aln, by=["file"])
+
+
+@query(" SELECT file, mapq, CAST(count(*) AS BIGINT) AS count FROM aln GROUP BY 1, 2")
+def multi_file_mapq(aln, header):
+    return aggregate.mapq_dist(aln, by=["file"])
+
+
+_FILE_RUNS = BLOCKS.replace("SELECT a.ref_id,", "SELECT a.file, a.ref_id,") + """, ev AS (SELECT file, ref_id, s AS px, 1 AS d FROM blk WHERE s < e UNION ALL SELECT file, ref_id, e, -1 FROM blk WHERE s < e UNION ALL SELECT file, ref_id, 0, 0 FROM (SELECT DISTINCT file FROM aln) CROSS JOIN hdr),
+net AS (SELECT file, ref_id, px, sum(d) AS d FROM ev GROUP BY file, ref_id, px HAVING sum(d) <> 0 OR px = 0),
+run AS (SELECT file, seqname, px AS s, coalesce(lead(px) OVER w, seqlength) AS e, sum(d) OVER w AS v, seqlength FROM net JOIN hdr ON hdr.ref_id = net.ref_id WINDOW w AS (PARTITION BY file, net.ref_id ORDER BY px))"""
+
+
+@query(_FILE_RUNS + ' SELECT file, seqname, CAST(s AS BIGINT) AS start, CAST(e AS BIGINT) AS "end", CAST(v AS BIGINT) AS value FROM run WHERE s < seqlength')
+def multi_file_coverage(aln, header):
+    return coverage.coverage_runs(aln, header, by=["file"]).select("file", "seqname", "start", "end", "value")
+
+
+_ZOOMED = RUNS + """, p AS (SELECT ref_id, v, unnest(range(s, e)) AS px FROM runs WHERE v > 0)
+SELECT ref_id, CAST(px // 400 AS BIGINT) AS zoom_bin, CAST(count(*) AS BIGINT) AS n_bases, min(v) AS min_value, max(v) AS max_value, CAST(sum(v) AS BIGINT) AS sum_value, CAST(sum(v * v) AS BIGINT) AS sumsq_value FROM p GROUP BY 1, 2"""
+
+
+@query(_ZOOMED)
+def coverage_zoom_coarser(aln, header):
+    """A zoom level from the next finer one."""
+    return coverage.coarser(coverage.zoom_summary(_runs(aln, header), 100), 4)
+
+
+@query(f""", z AS (SELECT ref_id, zb, least((zb + 1) * 20, seqlength) AS ze, n, lowest, highest, s FROM (
+  SELECT ref_id, px // 20 AS zb, count(*) AS n, min(v) AS lowest, max(v) AS highest, sum(v) AS s FROM (SELECT ref_id, v, unnest(range(s, e)) AS px FROM runs WHERE v > 0) GROUP BY 1, 2) JOIN hdr USING (ref_id)),
+bins AS (SELECT ref_id, seqname, i AS bin, CAST(floor(seqlength * i / {N_BINS}.0) AS BIGINT) AS lo, CAST(floor(seqlength * (i + 1) / {N_BINS}.0) AS BIGINT) AS hi FROM hdr, range({N_BINS}) AS r(i))
+SELECT b.seqname, CAST(b.bin AS INTEGER) AS bin, coalesce(CAST(max(highest) AS DOUBLE), CAST('NaN' AS DOUBLE)) AS value
+FROM bins b LEFT JOIN z ON z.ref_id = b.ref_id AND z.zb * 20 < b.hi AND z.ze > b.lo GROUP BY ALL""".replace(", z AS", RUNS + ", z AS", 1))
+def zoom_bins_max(aln, header):
+    """Bin maxima from a zoom level, as a viewer asks for them."""
+    return coverage.zoom_bin_stats(coverage.zoom_summary(_runs(aln, header), 20), 20, header, N_BINS, "max")
+
+
+@query(" SELECT CAST(flag AS INTEGER) AS flag, mapq, CAST(n AS BIGINT) AS surplus FROM (SELECT flag, mapq, sum(CASE WHEN (flag & 16) = 0 THEN 1 ELSE -1 END) AS n FROM aln GROUP BY 1, 2) WHERE n <> 0")
+def unequal_rows(aln, header):
+    """Forward against reverse reads, compared as two results whose order does not matter."""
+    side = lambda cond: aln.where(cond).select(F.col("flag").cast("int").alias("flag"), "mapq")
+    return compare.unequal_rows(side((F.col("flag").bitwiseAND(16)) == 0), side((F.col("flag").bitwiseAND(16)) != 0))
 
 
 @query(f", m AS (SELECT qname, mapq, abs(isize) AS size, row_number() OVER (PARTITION BY qname ORDER BY abs(abs(isize) - 500), {_FILE_ORDER}) AS n FROM aln WHERE abs(isize) BETWEEN 100 AND 900) SELECT qname, mapq, size FROM m WHERE n = 1 ORDER BY size DESC, qname LIMIT 24")

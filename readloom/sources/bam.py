@@ -1,8 +1,11 @@
 """BAM files as a Spark data source, from the public format specification.
 
-`spark.read.format("bam")` with options `paths` (JSON list of [name, path]), `what` (comma-separated fields to decode) and
-`tags` (comma-separated NAME:int|double|string). Each file is one partition; blocks stream through a bounded buffer.
-Truncated or malformed files are errors.
+`spark.read.format("bam")` with options `paths` (JSON list of [name, path]), `what` (comma-separated fields to decode),
+`tags` (comma-separated NAME:int|double|string) and `split` (compressed bytes of a partition). A file is dealt out by ranges
+of its bytes: a partition has the records that start in the blocks which start in its range. It finds the first block by its
+header and checksum, and the first record as the first place from which records that fit the header's contigs follow one
+another. Blocks stream through a bounded buffer. Truncated or malformed files are errors. `_ord` is a record's virtual
+offset: the place of its block, times 65536, plus its place in the block.
 """
 
 from __future__ import annotations
@@ -11,14 +14,13 @@ import json
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
-from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThanOrEqual, InputPartition
 
-from readloom.sources.files import named_paths
+from readloom.sources.files import named_paths, open_input
 
 OPS, BASES = "MIDNSHP=X", "=ACMGRSVTWYHKDBN"
 RAW = {
@@ -27,7 +29,8 @@ RAW = {
 }
 ALWAYS = ("file", "_ord", "flag", "ref_id", "pos", "mapq")
 NEEDS = {"rname": ("ref_id",), "strand": ("flag", "ref_id"), "mrnm": ("mate_ref_id",), "seq": ("seq", "qwidth")}
-BATCH = 20_000
+BATCH, SPLIT, READ, CHAIN = 20_000, 64 << 20, 1 << 20, 16
+"""Records of a batch; compressed bytes of a partition, and of one read; records that must follow one another to be taken for such."""
 INTS = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I"}
 KINDS = {"int": 1, "double": 2, "string": 3}
 ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary()}
@@ -37,44 +40,94 @@ class Corrupt(ValueError):
     """A file that does not follow the format."""
 
 
-def inflated(f: BinaryIO) -> Iterator[bytes]:
-    """The contents of each BGZF block."""
-    while head := f.read(12):
-        if len(head) < 12 or head[:4] != b"\x1f\x8b\x08\x04":
+MAGIC = b"\x1f\x8b\x08\x04"
+
+
+def block_size(raw: bytes, at: int) -> int:
+    """The size of the BGZF block at raw[at:]; 0 if its head is not all there, -1 if it is none."""
+    if len(raw) - at < 12:
+        return 0
+    if raw[at : at + 4] != MAGIC:
+        return -1
+    end = at + 12 + struct.unpack_from("<H", raw, at + 10)[0]
+    if len(raw) < end:
+        return 0
+    x = at + 12
+    while x + 4 <= end:
+        n = struct.unpack_from("<H", raw, x + 2)[0]
+        if raw[x : x + 2] == b"BC" and n == 2:
+            return struct.unpack_from("<H", raw, x + 4)[0] + 1
+        x += 4 + n
+    return -1
+
+
+def inflate(raw: bytes, at: int, size: int) -> bytes:
+    head = 12 + struct.unpack_from("<H", raw, at + 10)[0]
+    try:
+        data = zlib.decompress(raw[at + head : at + size - 8], -15)
+    except zlib.error as e:
+        raise Corrupt(f"a BGZF block that cannot be inflated: {e}") from e
+    if (zlib.crc32(data), len(data)) != struct.unpack_from("<II", raw, at + size - 8):
+        raise Corrupt("a BGZF block whose checksum or size is wrong")
+    return data
+
+
+def inflated(f: pa.NativeFile, at: int) -> Iterator[tuple[int, bytes]]:
+    """The place and contents of each BGZF block from the one at `at`."""
+    f.seek(at)
+    raw, i = b"", 0
+    while True:
+        size = block_size(raw, i)
+        if size < 0:
             raise Corrupt("not a BGZF block")
-        extra = f.read(struct.unpack_from("<H", head, 10)[0])
-        at, size = 0, None
-        while at + 4 <= len(extra):
-            kind, n = extra[at : at + 2], struct.unpack_from("<H", extra, at + 2)[0]
-            if kind == b"BC" and n == 2:
-                size = struct.unpack_from("<H", extra, at + 4)[0] + 1
-            at += 4 + n
-        if size is None:
-            raise Corrupt("a BGZF block without its size")
-        rest = f.read(size - 12 - len(extra))
-        if len(rest) < size - 12 - len(extra):
-            raise Corrupt("truncated BGZF block")
-        data = zlib.decompress(rest[:-8], -15)
-        if (zlib.crc32(data), len(data)) != struct.unpack("<II", rest[-8:]):
-            raise Corrupt("a BGZF block whose checksum or size is wrong")
-        yield data
+        if not size or len(raw) - i < size:
+            more = f.read(READ)
+            if not more:
+                if len(raw) > i:
+                    raise Corrupt("truncated BGZF block")
+                return
+            raw, at, i = raw[i:] + more, at + i, 0
+            continue
+        yield at + i, inflate(raw, i, size)
+        i += size
+
+
+def first_block(f: pa.NativeFile, start: int, end: int) -> int | None:
+    """The place of the first BGZF block that starts in [start, end)."""
+    f.seek(start)
+    raw, i = f.read(min(end - start, READ) + (1 << 17)), -1
+    while (i := raw.find(MAGIC, i + 1)) >= 0 and start + i < end:
+        size = block_size(raw, i)
+        if size > 0 and len(raw) - i >= size:
+            try:
+                inflate(raw, i, size)
+                return start + i
+            except Corrupt:
+                continue
+    return None
 
 
 class Stream:
-    """A file's inflated bytes: `need(n)` makes n of them available at `at` in `data`, or says that there are none."""
+    """A file's inflated bytes from a block on: `need(n)` makes n of them available at `at` in `data`, or says that there are none."""
 
-    def __init__(self, f: BinaryIO) -> None:
-        self.blocks, self.data, self.at, self.base = inflated(f), b"", 0, 0
+    def __init__(self, f: pa.NativeFile, start: int = 0) -> None:
+        self.blocks, self.data, self.at = inflated(f, start), b"", 0
+        self.places, self.begins = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def need(self, n: int) -> bool:
         if len(self.data) - self.at >= n:
             return True
         parts, have = [self.data[self.at :]], len(self.data) - self.at
-        self.base += self.at
-        while have < max(n, 1 << 20) and (b := next(self.blocks, None)) is not None:
-            parts.append(b)
-            have += len(b)
+        last = max(0, int(np.searchsorted(self.begins, self.at, side="right")) - 1)
+        places, begins = self.places[last:].tolist(), (self.begins[last:] - self.at).tolist()
+        while have < max(n, READ) and (b := next(self.blocks, None)) is not None:
+            if b[1]:
+                places.append(b[0])
+                begins.append(have)
+                parts.append(b[1])
+                have += len(b[1])
         self.data, self.at = b"".join(parts), 0
+        self.places, self.begins = np.array(places, np.int64), np.array(begins, np.int64)
         if have < n and have:
             raise Corrupt("the file ends within a record")
         return have >= n
@@ -85,6 +138,106 @@ class Stream:
         self.at += n
         return self.data[self.at - n : self.at]
 
+    def virtual(self, at: np.ndarray) -> np.ndarray:
+        block = np.searchsorted(self.begins, at, side="right") - 1
+        return (self.places[block] << 16) + (at - self.begins[block])
+
+
+def starts_of(data: bytes, n_refs: int) -> np.ndarray:
+    """Places where a record of such a file may start, by its fixed fields alone."""
+    raw = np.frombuffer(data, np.uint8)
+    n = len(raw) - 36
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    long = lambda at: (raw[at : at + n].astype(np.int64) | raw[at + 1 : at + 1 + n].astype(np.int64) << 8 | raw[at + 2 : at + 2 + n].astype(np.int64) << 16 | raw[at + 3 : at + 3 + n].view(np.int8).astype(np.int64) << 24)
+    size, ref, pos, l_seq, mate, mpos = (long(x) for x in (0, 4, 8, 20, 24, 28))
+    name = raw[12 : 12 + n].astype(np.int64)
+    cigar = raw[16 : 16 + n].astype(np.int64) | raw[17 : 17 + n].astype(np.int64) << 8
+    fine = (size >= 33) & (ref >= -1) & (ref < n_refs) & (mate >= -1) & (mate < n_refs) & (pos >= -1) & (mpos >= -1) & (name >= 1) & (l_seq >= 0)
+    fine &= 32 + name + 4 * cigar + (l_seq + 1) // 2 + l_seq <= size
+    at = np.flatnonzero(fine)
+    end = at + 36 + name[at] - 1
+    inside = end < len(raw)
+    return at[~inside | (raw[np.minimum(end, len(raw) - 1)] == 0)]
+
+
+def first_record(s: Stream, n_refs: int) -> bool:
+    """Moves s to the first record that starts in what it has or will have; False if there is none."""
+    want = READ
+    while s.need(1):
+        ended = False
+        try:
+            s.need(want)
+        except Corrupt:  # less than that is left
+            ended = True
+        data = s.data[s.at :]
+        maybe = starts_of(data, n_refs)
+        known = set(maybe.tolist())
+        for at in maybe.tolist():
+            i = at
+            for seen in range(1, CHAIN + 1):
+                i += 4 + int.from_bytes(data[i : i + 4], "little")
+                if i == len(data) and ended or seen == CHAIN and i < len(data):
+                    s.at += at
+                    return True
+                if i not in known:
+                    break
+        if ended:
+            return False
+        want *= 2
+    return False
+
+
+def record_batches(path: str, start: int, end: int, first: int, n_refs: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
+    """(data, where its records begin after their size, their virtual offsets) of the records that start in blocks of [start, end).
+    first: the virtual offset of the file's first record."""
+    with open_input(path) as f:
+        if start <= first >> 16 < end:
+            s = Stream(f, first >> 16)
+            if not s.need(1):
+                return
+            s.at = first & 0xFFFF
+        elif start <= first >> 16 or (block := first_block(f, start, end)) is None:
+            return
+        else:
+            s = Stream(f, block)
+            if not first_record(s, n_refs):
+                return
+        while s.need(4):
+            places, at, held = [], s.at, len(s.data)
+            while len(places) < BATCH and at + 4 <= held:
+                size = int.from_bytes(s.data[at : at + 4], "little", signed=True)
+                if size < 32:
+                    raise Corrupt("a record of impossible size")
+                if at + 4 + size > held:
+                    break
+                places.append(at + 4)
+                at += 4 + size
+            if not places:
+                if s.virtual(np.array([s.at]))[0] >> 16 >= end:
+                    return
+                s.need(4 + int.from_bytes(s.data[s.at : s.at + 4], "little"))
+                continue
+            where = np.array(places)
+            order = s.virtual(where - 4)
+            own = int(np.searchsorted(order >> 16, end))
+            if own:
+                yield s.data, where[:own], order[:own]
+            if own < len(where):
+                return
+            s.at = at
+
+
+def splits_of(path: str, split: int = SPLIT) -> list[tuple[int, int, int, int]]:
+    """(start, end, first, n_refs) of each range of a file, as record_batches takes them."""
+    with open_input(path) as f:
+        s = Stream(f)
+        n_refs = len(read_header(s))
+        if not s.need(1):
+            return []
+        first, size = int(s.virtual(np.array([s.at]))[0]), f.size()
+    return [(x, min(x + split, size), first, n_refs) for x in range(0, size, split)]
+
 
 def read_header(s: Stream) -> list[tuple[str, int]]:
     if s.take(4) != b"BAM\x01":
@@ -144,8 +297,8 @@ def tag_kind(code: str, value: object) -> int:
 class Decoder:
     """Records of one file as Arrow batches of the asked columns."""
 
-    def __init__(self, columns: dict[str, str], tags: dict[str, str], name: str, min_mapq: int = 0, file: str | None = None, compat: bool = False) -> None:
-        self.columns, self.tags, self.name, self.min_mapq, self.file, self.compat = columns, tags, name, min_mapq, file, compat
+    def __init__(self, columns: dict[str, str], tags: dict[str, str], name: str, min_mapq: int = 0, compat: bool = False) -> None:
+        self.columns, self.tags, self.name, self.min_mapq, self.compat = columns, tags, name, min_mapq, compat
         self.cigars: dict[bytes, str] = {b"": ""}
 
     def cigar(self, raw: bytes) -> str:
@@ -156,32 +309,13 @@ class Decoder:
             text = self.cigars[raw] = "".join(f"{x >> 4}{OPS[x & 15] if x & 15 < 9 else '?'}" for x in ops)
         return text
 
-    def batches(self, s: Stream) -> Iterator[pa.RecordBatch]:
-        if self.file is not None and self.file != self.name:
-            return
-        while s.need(4):
-            places, at, held = [], s.at, len(s.data)
-            while len(places) < BATCH and at + 4 <= held:
-                size = int.from_bytes(s.data[at : at + 4], "little", signed=True)
-                if size < 32:
-                    raise Corrupt("a record of impossible size")
-                if at + 4 + size > held:
-                    break
-                places.append(at + 4)
-                at += 4 + size
-            if not places:
-                s.need(4 + int.from_bytes(s.data[s.at : s.at + 4], "little"))
-                continue
-            yield self.batch(s.data, np.array(places), s.base)
-            s.at = at
-
-    def batch(self, data: bytes, at: np.ndarray, base: int) -> pa.RecordBatch:
+    def batch(self, data: bytes, at: np.ndarray, order: np.ndarray) -> pa.RecordBatch:
         raw = np.frombuffer(data, np.uint8)
         fixed = raw[at[:, None] + np.arange(-4, 32)]
         f = np.ascontiguousarray(fixed).view(np.dtype([("size", "<i4"), ("ref", "<i4"), ("pos", "<i4"), ("l_name", "u1"), ("mapq", "u1"), ("bin", "<u2"), ("n_cigar", "<u2"), ("flag", "<u2"), ("l_seq", "<i4"), ("mref", "<i4"), ("mpos", "<i4"), ("tlen", "<i4")]))[:, 0]
         if self.min_mapq:
             keep = f["mapq"] >= self.min_mapq
-            f, at = f[keep], at[keep]
+            f, at, order = f[keep], at[keep], order[keep]
         l_seq = f["l_seq"].astype(np.int64)
         name = at + 32
         cig = name + f["l_name"]
@@ -194,7 +328,7 @@ class Decoder:
         cut = lambda a, z: [data[i:j] for i, j in zip(a.tolist(), z.tolist())]
         n = len(f)
         make = {
-            "file": lambda: [self.name] * n, "_ord": lambda: base + at, "qname": lambda: [x.decode() for x in cut(name, cig - 1)], "flag": lambda: f["flag"].astype(np.int32),
+            "file": lambda: [self.name] * n, "_ord": lambda: order, "qname": lambda: [x.decode() for x in cut(name, cig - 1)], "flag": lambda: f["flag"].astype(np.int32),
             "ref_id": lambda: f["ref"], "pos": lambda: f["pos"].astype(np.int64) + 1, "mapq": lambda: f["mapq"].astype(np.int32), "cigar": lambda: [self.cigar(x) for x in cut(cig, seq)],
             "mate_ref_id": lambda: f["mref"], "mpos": lambda: f["mpos"].astype(np.int64) + 1, "isize": lambda: f["tlen"], "qwidth": lambda: f["l_seq"],
             "seq": lambda: cut(seq, qual), "qual": lambda: cut(qual, tags),
@@ -211,8 +345,8 @@ class Decoder:
 
 
 class BamReader(DataSourceReader):
-    def __init__(self, paths: list, columns: dict[str, str], tags: dict[str, str], compat: bool) -> None:
-        self.paths, self.columns, self.tags, self.compat = paths, columns, tags, compat
+    def __init__(self, paths: list, columns: dict[str, str], tags: dict[str, str], compat: bool, split: int) -> None:
+        self.paths, self.columns, self.tags, self.compat, self.split = paths, columns, tags, compat, split
         self.min_mapq, self.file = 0, None
 
     def pushFilters(self, filters):
@@ -226,14 +360,15 @@ class BamReader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        return [InputPartition((n, p)) for n, p in self.paths]
+        return [InputPartition((n, p, *x)) for n, p in self.paths if self.file in (None, n) for x in splits_of(p, self.split)] or [InputPartition(None)]
 
     def read(self, partition):
-        name, path = partition.value
-        with open(path, "rb") as f:
-            s = Stream(f)
-            read_header(s)
-            yield from Decoder(self.columns, self.tags, name, self.min_mapq, self.file, self.compat).batches(s)
+        if partition.value is None:
+            return
+        name, path, *where = partition.value
+        decoder = Decoder(self.columns, self.tags, name, self.min_mapq, self.compat)
+        for data, at, order in record_batches(path, *where):
+            yield decoder.batch(data, at, order)
 
 
 class BamSource(DataSource):
@@ -257,7 +392,7 @@ class BamSource(DataSource):
         return ", ".join(f"`{c}` {t}" for c, t in (columns | tags).items())
 
     def reader(self, schema) -> BamReader:
-        return BamReader(*self._parts(), self.options.get("compat_format", "false") == "true")
+        return BamReader(*self._parts(), self.options.get("compat_format", "false") == "true", int(self.options.get("split", SPLIT)))
 
 
 def register(spark: SparkSession) -> None:
@@ -265,16 +400,25 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(BamSource)
 
 
-def read_bam(spark: SparkSession, files, what: Iterable[str] = (), tags: dict[str, str] | Iterable[str] = ()) -> DataFrame:
+def read_bam(spark: SparkSession, files, what: Iterable[str] = (), tags: dict[str, str] | Iterable[str] = (), split: int = SPLIT) -> DataFrame:
     """Raw records of BAM files with file and _ord (their order). Tags without a given type are inferred by a pass over the files."""
     register(spark)
     pairs = named_paths(files)
     if not isinstance(tags, dict):
-        tags = infer_tags(spark, pairs, [t for t in dict.fromkeys(tags) if t])
-    return spark.read.format("bam").option("paths", json.dumps(pairs)).option("what", ",".join(what)).option("tags", ",".join(f"{k}:{v}" for k, v in tags.items())).load()
+        tags = infer_tags(spark, pairs, [t for t in dict.fromkeys(tags) if t], split)
+    options = {"paths": json.dumps(pairs), "what": ",".join(what), "tags": ",".join(f"{k}:{v}" for k, v in tags.items()), "split": str(split)}
+    return spark.read.format("bam").options(**options).load()
+
+
+def tag_places(data: bytes, at: np.ndarray) -> Iterator[bytes]:
+    """The tags of each record, encoded."""
+    for i in at.tolist():
+        size, l_name = int.from_bytes(data[i - 4 : i], "little"), data[i + 8]
+        n_cigar, l_seq = struct.unpack_from("<H", data, i + 12)[0], struct.unpack_from("<i", data, i + 16)[0]
+        yield data[i + 32 + l_name + 4 * n_cigar + (l_seq + 1) // 2 + l_seq : i + size]
 
 
-def infer_tags(spark: SparkSession, pairs: list[tuple[str, str]], tags: list[str]) -> dict[str, str]:
+def infer_tags(spark: SparkSession, pairs: list[tuple[str, str]], tags: list[str], split: int = SPLIT) -> dict[str, str]:
     """The widest type of each tag over all records: int, double or string; a tag that never occurs is a string."""
     if not tags:
         return {}
@@ -282,33 +426,41 @@ def infer_tags(spark: SparkSession, pairs: list[tuple[str, str]], tags: list[str
 
     def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path in b.column(0).to_pylist():
+            for row in b.to_pylist():
                 best: dict[str, int] = {}
-                with open(path, "rb") as f:
-                    s = Stream(f)
-                    read_header(s)
-                    while s.need(4):
-                        rec = s.take(struct.unpack("<i", s.take(4))[0])
-                        l_name, n_cigar, l_seq = rec[8], struct.unpack_from("<H", rec, 12)[0], struct.unpack_from("<i", rec, 16)[0]
-                        for tag, (code, value) in parse_tags(rec[32 + l_name + 4 * n_cigar + (l_seq + 1) // 2 + l_seq :]).items():
+                for data, at, _ in record_batches(row["path"], row["start"], row["end"], row["first"], row["refs"]):
+                    for raw in tag_places(data, at):
+                        for tag, (code, value) in parse_tags(raw).items():
                             if tag in wanted and value is not None:
                                 best[tag] = max(best.get(tag, 0), tag_kind(code, value))
                 yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.string()), pa.array(list(best.values()), pa.int32())], ["tag", "kind"])
 
-    rows = spark.createDataFrame([(p,) for _, p in pairs], "path string").repartition(len(pairs)).mapInArrow(kinds, "tag string, kind int").groupBy("tag").agg({"kind": "max"}).collect()
+    parts = [(p, *x) for _, p in pairs for x in splits_of(p, split)]
+    if not parts:
+        return dict.fromkeys(tags, "string")
+    rows = spark.createDataFrame(parts, "path string, start long, end long, first long, refs int").repartition(len(parts)).mapInArrow(kinds, "tag string, kind int").groupBy("tag").agg({"kind": "max"}).collect()
     found, names = dict(map(tuple, rows)), {v: k for k, v in KINDS.items()}
     return {t: names[found.get(t, 3)] for t in tags}
 
 
-def read_bam_header(spark: SparkSession, path: str) -> DataFrame:
-    """ref_id, seqname, seqlength; a file without contigs is an error."""
-    with open(path, "rb") as f:
+def header_of(path: str) -> list[tuple[str, int]]:
+    """(name, length) of a file's contigs; none is an error."""
+    with open_input(path) as f:
         contigs = read_header(Stream(f))
     if not contigs:
         raise Corrupt("a BAM file without contigs")
+    return contigs
+
+
+def header_frame(spark: SparkSession, contigs: list[tuple[str, int]]) -> DataFrame:
     return spark.createDataFrame([(i, n, x) for i, (n, x) in enumerate(contigs)], "ref_id int, seqname string, seqlength int")
 
 
+def read_bam_header(spark: SparkSession, path: str) -> DataFrame:
+    """ref_id, seqname, seqlength."""
+    return header_frame(spark, header_of(path))
+
+
 def bgzf(data: bytes) -> bytes:
     """data as BGZF blocks and the end marker."""
     out = []
