@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import os
 import tempfile
@@ -10,38 +11,65 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 1 << 20
 """Bytes of text that one numpy pass takes; a longer document is a block of its own."""
-BROADCAST_ROWS = 1_000_000
-"""Rows of 8-byte ids up to which a counted table is broadcast; beyond it Spark joins by shuffle."""
+ROWS = 1500
+"""Rows that a function over batches sees at once."""
+BROADCAST_BYTES = 16 << 20
+"""Estimated bytes up to which a counted table of numbers is broadcast; beyond it Spark joins by shuffle."""
+WIDTHS = {"int": 4, "long": 8, "bigint": 8, "boolean": 1, "double": 8}
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share. Only where the session names none (tests), a local one."""
+    """This application's folder in the one that the driver and all executors share. Only a local session (tests) may name none;
+    it gets one. The folder goes when the driver ends."""
     if not (at := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + os.path.join(tempfile.gettempdir(), "readloom-scratch")
         spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    path = f"{at.rstrip('/')}/readloom-{spark.sparkContext.applicationId}"
+    if path not in _SWEPT:
+        _SWEPT.add(path)
+        atexit.register(_remove, spark, path)
+    return path
+
+
+_SWEPT: set[str] = set()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session is gone, and its files are the cluster's to clean
+        pass
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes what this application's queries have written; their results must not be read afterwards."""
+    _remove(spark, scratch(spark))
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back, so that lost executors cost no recomputation."""
-    path = f"{scratch(df.sparkSession)}/readloom-{name}-{uuid.uuid4().hex}"
+    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1500) -> None:
-    """Texts cross to Python in batches of so many rows at most; very long texts are what this bounds."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded(df: DataFrame, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint if df, whose rows are a few numbers each, is counted to be small; df itself otherwise."""
+    most = most_bytes // (24 + sum(WIDTHS.get(t, 64) for _, t in df.dtypes))
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint if df, whose rows are a few longs each, is counted to be small; df itself otherwise."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def version(text: str | Column = "text") -> Column:
+    """What tells the different texts of one id apart."""
+    return F.xxhash64(text)
 
 
 def as_bytes(texts: pa.Array) -> list[bytes]:
@@ -60,6 +88,19 @@ def blocks(sizes: list[int], most: int = BLOCK_BYTES) -> Iterator[tuple[int, int
         yield start, len(sizes)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int = 16 * BLOCK_BYTES, column: int = 1) -> Iterator[list[pa.RecordBatch]]:
+    """Neighbouring batches whose texts add up to `most` bytes or little more, or one batch."""
+    group, total = [], 0
+    for b in batches:
+        group.append(b)
+        total += b.column(column).nbytes
+        if total >= most:
+            yield group
+            group, total = [], 0
+    if group:
+        yield group
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every input bit."""
     x = x ^ (x >> np.uint64(32))
@@ -104,10 +145,10 @@ def release() -> None:
 
 
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run over a partition's batches, then `release`."""
+    """run over a partition's batches, in slices of ROWS rows (Spark bounds a batch's bytes), then `release`."""
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from run(batches)
+            yield from run(b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS))
         finally:
             release()
 
@@ -151,27 +192,25 @@ def unite(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of edges(u, v): root is the smallest node reachable.
 
-    Large-star and small-star rounds over DataFrames; each round's edges are written to the shared folder. A hub's edges
-    stream through a sum and a join whose skew Spark splits; no node's neighbours are gathered.
+    Large-star and small-star rounds over DataFrames, until the edges are stars: every node but the centres has one edge,
+    which leads to a centre. Each round's edges are written to the shared folder. A hub's edges stream through a sum and a
+    join whose skew Spark splits; no node's neighbours are gathered.
     """
     def order(e: DataFrame) -> DataFrame:
         return e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
-    def mark(e: DataFrame) -> tuple:
-        x = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
-        return tuple(x)
+    def both(e: DataFrame, *more: str) -> DataFrame:
+        return e.select("u", "v", *[F.lit(1).alias(m) for m in more]).unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"), *[F.lit(0).alias(m) for m in more]))
 
     now = cut(order(edges.select("u", "v")), "edges")
-    seen = mark(now)
     while True:
-        both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = order(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        ends = both(now, "out").groupBy("u").agg(F.sum("out").alias("out"), F.max(1 - F.col("out")).alias("centre"))
+        if ends.where("out > 1 or (out = 1 and centre = 1)").isEmpty():
+            break
+        low = both(now).groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = order(both(now).join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        nxt = cut(order(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))), "edges")
-        if (mark_now := mark(nxt)) == seen:
-            break
-        now, seen = nxt, mark_now
-    low = nxt.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return low.unionByName(nxt.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        now = cut(order(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))), "edges")
+    low = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return low.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
