@@ -10,7 +10,7 @@ more than HOT fingerprints is dealt out as pairs of slices, so that no task hold
 returns a spanning forest of the links it found, never all pairs.
 
 Null and empty texts and texts without words have fingerprint 0 and are linked like any other. Repeated rows give
-repeated result rows. A null id is kept in its row and is no candidate for component_id unless a group has no other. An
+repeated result rows; rows of one id and different texts are different documents, which may be in different groups. A null id is kept in its row and is no candidate for component_id unless a group has no other. An
 empty table gives an empty result. Only the id and text columns are read, so other columns may have any names.
 """
 
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import as_bytes, bounded, components, cut, small_batches, tidy, unite
+from readloom.llm.common import as_bytes, bounded, components, cut, tidy, unite, version
 
 RADIUS, SEED, SHINGLE, TILE, HOT = 3, 42, 3, 512, 20_000
 
@@ -50,14 +50,14 @@ def fingerprint(text: bytes) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = np.array([fingerprint(x) for x in as_bytes(b.column(1))], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
+        found = np.array([fingerprint(x) for x in as_bytes(b.column(0))], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(found, pa.int64())], [*b.schema.names[1:], "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long)."""
-    small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(_fingerprints), "doc_id long, fp long")
+    """doc_id, version (of the text), fp (the fingerprint as a signed long)."""
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("doc_id"))
+    return rows.select("text", "doc_id", version("text").alias("version")).mapInArrow(tidy(_fingerprints), "doc_id long, version long, fp long")
 
 
 def tile_links(fps: np.ndarray, parent: np.ndarray) -> None:
@@ -137,7 +137,7 @@ def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
     keyed = _keys(fps).select(F.col("key").cast("long"), "fp")
     large = cut(keyed.groupBy("key").count().where(F.col("count") > hot), "hot-keys")
     if not large.isEmpty():
-        wide = keyed.join(bounded(large, 100_000), "key", "left").withColumn("n", F.ceil(F.coalesce("count", F.lit(0)) * 2 / hot).cast("int"))
+        wide = keyed.join(bounded(large), "key", "left").withColumn("n", F.ceil(F.coalesce("count", F.lit(0)) * 2 / hot).cast("int"))
         slice_ = F.pmod(F.xxhash64("fp"), F.greatest("n", F.lit(1))).cast("int")
         other = F.explode(F.when(F.col("n") > 1, F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array(F.lit(-1))))
         wide = wide.withColumn("s", slice_).select("*", other.alias("o"))
@@ -146,13 +146,22 @@ def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id: the smallest id reachable over links."""
+    """doc_id, version (of the text), fingerprint (16 hex digits), component_id: the smallest id reachable over links; and root, the
+    component's own number, as rows of one id may be in different components of the same smallest id.
+
+    Only fingerprints that are linked or repeated need a component by join; for any other it is the id itself."""
     prints = cut(fingerprints(docs, id_col, text_col), "fingerprints")
-    roots = cut(components(links(prints.select("fp").distinct(), hot)), "roots")
-    placed = prints.join(roots, prints.fp == roots.node, "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(least, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    least = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
+    roots = cut(components(links(least.select("fp"), hot)), "roots")
+    linked = least.join(bounded(roots), F.col("fp") == F.col("node")).select("fp", "root", "least")
+    whole = cut(linked.groupBy("root").agg(F.min("least").alias("component_id")), "components")
+    placed = linked.join(bounded(whole), "root").select("fp", "root", "component_id")
+    alone = least.where("n > 1").join(bounded(roots.select("node")), F.col("fp") == F.col("node"), "left_anti").select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
+    known = cut(placed.unionByName(alone), "placed").withColumnRenamed("fp", "__fp").withColumn("__in", F.lit(True))
+    rows = prints.join(bounded(known), F.col("fp") == F.col("__fp"), "left")
+    component = F.when(F.col("__in"), F.col("component_id")).otherwise(F.col("doc_id"))
+    return rows.select("doc_id", "version", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component.alias("component_id"), F.coalesce("root", "fp").alias("root"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("version", "root")
