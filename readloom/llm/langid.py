@@ -6,34 +6,35 @@ landmarks (documents of the training sample) turn it into features, and kernel r
 the rest, is solved on them. A batch of documents is scored by two matrix products: presence by landmarks' presence, and
 kernel values by the weights.
 
-Training takes at most PER_LANG documents of each language, by least hash, of those with a language that the filter
-lets through, and MAX_LANGS languages at most, the most frequent; that is the documented bound of the sample. Whole texts
-are scored.
+Training takes at most PER_LANG distinct texts with a letter of each language, those of least hash, of the rows with a
+language that the filter lets through, and MAX_LANGS languages at most, the most frequent; that is the documented bound of
+the sample. Whole texts are scored.
 
-A null text, or one without a letter, is `und` with score 0. Ties go to the first language by name. With no training
-document at all every prediction is `und`. Repeated rows give repeated result rows; an empty table gives an empty
+A null text, or one without a letter (Unicode category L), is `und` with score 0. Ties go to the first language by name. With no training
+document at all every prediction is `und`. Repeated rows give repeated result rows and count once in training, as do other
+rows of the same text and language; rows of one id and different texts are different documents. An empty table gives an empty
 result. Only the id, text and language columns are read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import regex
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from readloom.llm.common import blocks, small_batches, tidy
+from readloom.llm.common import blocks, tidy, version
 
 BITS, ORDERS = 16, 3
 PER_LANG, MAX_LANGS, LANDMARKS, RIDGE = 300, 200, 32, 1e-3
 """Training documents of a language at most; languages at most; landmarks of a language; the ridge."""
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -143,26 +144,38 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int32()))], ["lang", "ngrams"])
 
 
-def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, max_langs: int = MAX_LANGS) -> Model:
-    """Learns from the text and language of documents where `usable` is true. Only n-gram sets of the sample come to the driver."""
-    small_batches(docs.sparkSession)
-    ready = docs.where(usable & F.col(lang_col).isNotNull())
-    names = [r[0] for r in ready.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
-    if not names:
+def fit(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, max_langs: int = MAX_LANGS) -> Model:
+    """Learns from the text and language of documents where `usable` is true. Only n-gram sets of the sample come to the driver.
+
+    The per_lang least hashes of a language lie under a bound that its number of rows foretells, so every task returns a
+    few rows of each language; the bound is raised where repeated texts have left too few.
+    """
+    ready = docs.where(usable).select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    ready = ready.withColumn("h", F.shiftrightunsigned(version("text"), 11).cast("double") / float(1 << 53))
+    sizes = {r[0]: r[1] for r in ready.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
+    spread = {lang: 1.2 * per_lang + 60 for lang in sizes}
+    chosen: dict[str, list[float]] = {}
+    while todo := [x for x in sizes if x not in chosen]:
+        below = F.create_map(*[F.lit(v) for x in todo for v in (x, min(2.0, spread[x] / sizes[x]))])
+        got: dict[str, list[float]] = {x: [] for x in todo}
+        for r in ready.where(F.col("lang").isin(todo) & (F.col("h") < below[F.col("lang")])).select("lang", "h").distinct().collect():
+            got[r["lang"]].append(r["h"])
+        for x in todo:
+            if len(got[x]) >= per_lang or spread[x] >= 2 * sizes[x]:
+                chosen[x] = sorted(got[x])[:per_lang]
+            spread[x] *= 8
+    if not chosen:
         return fit_sets([], [])
-    row = Window.partitionBy("lang").orderBy("h", "id")
-    ids = ready.where(F.col(lang_col).isin(names)).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(id_col).alias("h"))
-    chosen = ids.where("id is not null").withColumn("n", F.row_number().over(row)).where(F.col("n") <= per_lang).select("id").distinct()
-    texts = ready.where(F.col(lang_col).isin(names)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    got = texts.join(F.broadcast(chosen), "id").where("text is not null").dropDuplicates(["id"]).select("lang", "text").mapInArrow(tidy(_sets), "lang string, ngrams array<int>").collect()
-    got = sorted((r for r in got if len(r[1])), key=lambda r: (r[0], len(r[1]), r[1]))
-    order = np.random.default_rng(0).permutation(len(got))  # landmarks of all sizes
-    return fit_sets([got[i][0] for i in order], [np.array(got[i][1], np.int64) for i in order])
+    rows = docs.sparkSession.createDataFrame([(x, h) for x, hs in chosen.items() for h in hs], "lang string, h double")
+    sample = ready.join(F.broadcast(rows), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
+    found = sample.mapInArrow(tidy(_sets), "lang string, ngrams array<int>").collect()
+    found = sorted((r for r in found if len(r[1])), key=lambda r: (r[0], len(r[1]), r[1]))
+    order = np.random.default_rng(0).permutation(len(found))  # landmarks of all sizes
+    return fit_sets([found[i][0] for i in order], [np.array(found[i][1], np.int64) for i in order])
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", pred: str = "lang_pred", score: str = "score", keep_text: bool = True) -> DataFrame:
     """docs with the predicted language and its score; other columns stay, and the text if asked for."""
-    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
