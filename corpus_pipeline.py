@@ -1,7 +1,7 @@
 """From raw documents to packed sequences, in five stages; each works on all that its predecessor kept.
 
 A stage takes and returns the columns of documents; the last returns pieces placed in sequences. Rows without id are kept by
-every stage that decides by id.
+every stage that decides by id. Rows of one id and different texts are different documents, and each goes or stays by its own text.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.llm import langid, lines, packing, simhash, substrings
-from readloom.llm.common import bounded, cut
+from readloom.llm.common import bounded, cut, version
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,16 +27,22 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the smallest id."""
-    groups = simhash.near_dedup(docs.select("doc_id", "text"))
-    gone = cut(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct(), "copies")
-    rest = docs.join(bounded(gone), F.col("doc_id") == F.col("__id"), "left_anti")
-    repeated = cut(rest.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("__id")), "repeated")
-    if repeated.isEmpty():
+    """One document of each group of near copies stays, that of the smallest id; of an id with several texts, that of the least version."""
+    groups = cut(simhash.near_dedup(docs.select("doc_id", "text")).where("doc_id is not null"), "groups")
+    own = groups.where("doc_id = component_id")
+    several = cut(own.groupBy("root").agg(F.min("version").alias("kept"), F.count("*").alias("n")).where("n > 1"), "several")
+    later = own.join(bounded(several), "root").where("version <> kept")
+    gone = cut(groups.where("doc_id <> component_id").unionByName(later, True).select(F.col("doc_id").alias("__id"), F.col("version").alias("__version")).distinct(), "copies")
+
+    def of(named: DataFrame):
+        return bounded(named), (F.col("doc_id") == F.col("__id")) & (version("text") == F.col("__version"))
+
+    rest = docs.join(*of(gone), "left_anti")
+    if several.isEmpty():
         return rest
-    again = F.col("doc_id") == F.col("__id")
-    once = rest.join(bounded(repeated), again, "left_semi").dropDuplicates(["doc_id"])
-    return rest.join(bounded(repeated), again, "left_anti").unionByName(once)
+    repeated = cut(own.groupBy(F.col("doc_id").alias("__id"), F.col("version").alias("__version")).count().where("count > 1").select("__id", "__version"), "repeated")
+    once = rest.join(*of(repeated), "left_semi").withColumn("__version", version("text")).dropDuplicates(["doc_id", "__version"]).drop("__version")
+    return rest.join(*of(repeated), "left_anti").unionByName(once)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
