@@ -57,8 +57,9 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, text_col: str = "text
 
 def signed(changes: DataFrame) -> DataFrame:
     """Changes (before, after: IMAGE or null) as rows to add."""
-    rows = [changes.where(f"{c} is not null").select(*[F.col(f"{c}.{k}").alias(k) for k in KEYS], F.lit(s).cast("long").alias("n_docs"), (F.coalesce(f"{c}.n_tokens", F.lit(0)) * s).cast("long").alias("n_tokens")) for c, s in (("before", -1), ("after", 1))]
-    return rows[0].unionByName(rows[1])
+    both = F.array(*[F.struct(F.col(c).alias("image"), F.lit(s).cast("long").alias("n_docs")) for c, s in (("before", -1), ("after", 1))])
+    rows = changes.select(F.explode(both).alias("x")).select("x.image", "x.n_docs").where("image is not null")
+    return rows.select(*[F.col(f"image.{k}").alias(k) for k in KEYS], "n_docs", (F.coalesce("image.n_tokens", F.lit(0)) * F.col("n_docs")).alias("n_tokens"))
 
 
 def images() -> Column:
