@@ -27,7 +27,7 @@ def scratch(spark: SparkSession) -> str:
     """This application's folder in the one that the driver and all executors share. Only a local session (tests) may name none;
     it gets one. The folder goes when the driver ends."""
     if not (at := spark.conf.get("spark.checkpoint.dir", None)):
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + os.path.join(tempfile.gettempdir(), "readloom-scratch")
         spark.conf.set("spark.checkpoint.dir", at)
