@@ -1,7 +1,7 @@
 """Byte-level BPE by corpus-level merge replay.
 
-The rows of a task are cut into blocks; a block's pieces (matches of the pattern) are made distinct, and all merges run
-over those together that earlier blocks of the task did not have. An inverted index leads from a token pair, by the rank of the token it makes, to the
+The rows of a task are cut into blocks, whose pieces (matches of the pattern) are made distinct. All merges run together over
+the pieces of many blocks that the worker process has not seen before; what it knows is kept for its later tasks. An inverted index leads from a token pair, by the rank of the token it makes, to the
 positions where it stands; merges are applied in rank order, each at all its positions at once, and only the two
 neighbours of a merged position are looked up anew. Where a merge makes a pair of lower rank than itself, the order of
 the steps within one piece would matter, so such pieces are done again one by one; the result is that of the tiktoken
@@ -19,6 +19,7 @@ import hashlib
 import heapq
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +27,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import as_bytes, blocks, segment_hashes, small_batches, tidy
+from readloom.llm.common import as_bytes, blocks, gathered, segment_hashes, tidy
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 NONE = np.iinfo(np.int64).max
 KNOWN = 1 << 19
-"""Distinct pieces whose ids a task keeps from block to block; beyond it, it starts anew."""
+"""Distinct pieces whose ids a worker process keeps; beyond it, it starts anew."""
 
 
 @lru_cache(1)
@@ -229,8 +230,8 @@ def piece_starts(text: str, cuts: np.ndarray) -> np.ndarray:
     return np.flatnonzero((new | tail) & ~glued)
 
 
-def encode_block(v: Vocabulary, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """ids of all texts, one after another, and each text's place in them."""
+def split_block(v: Vocabulary, texts: list[bytes]) -> tuple:
+    """The pieces of a block, by text: their distinct hashes, which each has, how many a text has; and the hashes and bytes of the new ones."""
     strings = [t.decode() for t in texts]
     plain = [regex.search(r"'(?:[stmd]|re|ve|ll)", s) is None for s in strings]
     joined = "".join(s for s, p in zip(strings, plain) if p)
@@ -239,9 +240,7 @@ def encode_block(v: Vocabulary, texts: list[bytes]) -> tuple[np.ndarray, np.ndar
     data = np.frombuffer(joined.encode(), np.uint8)
     lead = np.flatnonzero((data & 0xC0) != 0x80)
     starts = lead[char_starts]
-    owner = np.searchsorted(chars, char_starts, side="right") - 1 if len(char_starts) else char_starts
-    rows = np.flatnonzero(plain)
-    own = rows[owner] if len(owner) else owner
+    own = np.flatnonzero(plain)[np.searchsorted(chars, char_starts, side="right") - 1] if len(char_starts) else char_starts
     odd = [(i, [m.encode() for m in v.pattern.findall(strings[i])]) for i in np.flatnonzero(~np.array(plain, bool))]
     extra = b"".join(b"".join(p) for _, p in odd)
     if extra:
@@ -249,29 +248,32 @@ def encode_block(v: Vocabulary, texts: list[bytes]) -> tuple[np.ndarray, np.ndar
         starts = np.concatenate((starts, len(data) + np.cumsum(sizes) - sizes))
         own = np.concatenate((own, np.repeat([i for i, _ in odd], [len(p) for _, p in odd])))
         data = np.concatenate((data, np.frombuffer(extra, np.uint8)))
-    ends = np.append(starts[1:], len(data))
-    if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+    ends = np.append(starts[1:], len(data))[: len(starts)]
     hashes, at, of = np.unique(segment_hashes(data, starts, ends), return_index=True, return_inverse=True)
-    if len(v.known) > KNOWN:
-        v.forget()
     to = np.searchsorted(v.known, hashes)
     new = np.append(v.known, np.uint64(0))[to] != hashes
     new[to == len(v.known)] = True
     at = at[new]
     sizes = ends[at] - starts[at]
-    pieces, begins = gather(data, starts[at], sizes), np.concatenate(([0], np.cumsum(sizes)))
+    if extra:
+        of = of[np.argsort(own, kind="stable")]
+    return hashes, of.astype(np.int32), np.bincount(own, minlength=len(texts)), hashes[new], gather(data, starts[at], sizes), sizes
+
+
+def learn(v: Vocabulary, split: list[tuple]) -> None:
+    """Replays the merges over all pieces that blocks have found new."""
+    hashes, first = np.unique(np.concatenate([x[3] for x in split]), return_index=True)
+    if not len(hashes):
+        return
+    data, sizes = np.concatenate([x[4] for x in split]), np.concatenate([x[5] for x in split])
+    pieces = gather(data, (np.cumsum(sizes) - sizes)[first], sizes[first])
+    begins = np.concatenate(([0], np.cumsum(sizes[first])))
     ids, place = replay(v.pairs, v.byte_ids[pieces], begins, lambda i: v.one_by_one(pieces[begins[i] : begins[i + 1]].tobytes()))
-    v.known = np.insert(v.known, to[new], hashes[new])
-    v.known_at = np.insert(v.known_at, to[new], place[:-1] + len(v.known_ids))
-    v.known_size = np.insert(v.known_size, to[new], np.diff(place))
+    to = np.searchsorted(v.known, hashes)
+    v.known = np.insert(v.known, to, hashes)
+    v.known_at = np.insert(v.known_at, to, place[:-1] + len(v.known_ids))
+    v.known_size = np.insert(v.known_size, to, np.diff(place))
     v.known_ids = np.concatenate((v.known_ids, ids.astype(np.int32)))
-    of = np.searchsorted(v.known, hashes)[of]
-    order = np.argsort(own, kind="stable") if extra else slice(None)
-    of, own = of[order], own[order]
-    lengths = v.known_size[of]
-    counts = np.bincount(own, lengths, len(texts)).astype(np.int64)
-    return gather(v.known_ids, v.known_at[of], lengths), np.concatenate(([0], np.cumsum(counts)))
 
 
 def decode(v: Vocabulary, ids: np.ndarray) -> bytes:
@@ -280,24 +282,39 @@ def decode(v: Vocabulary, ids: np.ndarray) -> bytes:
 
 def encode(v: Vocabulary, texts: list[bytes]) -> Iterator[np.ndarray]:
     """The ids of each text, checked to decode to it."""
-    for s, e in blocks([len(t) for t in texts]):
-        ids, place = encode_block(v, texts[s:e])
-        for i, t in enumerate(texts[s:e]):
+    if len(v.known) > KNOWN:
+        v.forget()
+    parts = [texts[s:e] for s, e in blocks([len(t) for t in texts])]
+    split = [split_block(v, p) for p in parts]
+    learn(v, split) if split else None
+    for part, (hashes, of, counts, *_) in zip(parts, split):
+        of = np.searchsorted(v.known, hashes)[of]
+        sizes = v.known_size[of]
+        ids = gather(v.known_ids, v.known_at[of], sizes)
+        place = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(counts)))]
+        for i, t in enumerate(part):
             own = ids[place[i] : place[i + 1]]
             if decode(v, own) != t:
                 own = np.array([x for m in v.pattern.findall(t.decode()) for x in v.one_by_one(m.encode())], np.int64)
             yield own
 
 
+def encoded(v: Vocabulary, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, Iterator[np.ndarray]]]:
+    """The first column of each batch, and the ids of its texts; batches are encoded in groups."""
+    for group in gathered(batches):
+        texts = [as_bytes(b.column(1)) for b in group]
+        ids = encode(v, [t for x in texts for t in x])
+        for b, x in zip(group, texts):
+            yield b.column(0), islice(ids, len(x))
+
+
 def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids: the whole text of each row as an array of ids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path, pattern)
-        for b in batches:
-            ids = pa.array([x.astype(np.int32) for x in encode(v, as_bytes(b.column(1)))], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), ids], ["doc_id", "ids"])
+        for docs, found in encoded(v, batches):
+            yield pa.RecordBatch.from_arrays([docs, pa.array([x.astype(np.int32) for x in found], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, ids array<int>")
 
 
@@ -316,15 +333,14 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     """doc_id, n_tokens, ids_sha256, decoded_sha256: what encoding and decoding give, without moving the ids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path, pattern)
-        for b in batches:
+        for docs, found in encoded(v, batches):
             n, coded, back = [], [], []
-            for ids in encode(v, as_bytes(b.column(1))):
+            for ids in found:
                 n.append(len(ids))
                 coded.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                 back.append(hashlib.sha256(decode(v, ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([docs, pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 

@@ -1,7 +1,7 @@
 """Best-fit packing with certified bin counts.
 
 Documents become token ids and an end id (distinct words are merged together by the replay of `bytebpe`, and words out of the
-ordinary by the tokenizer itself); longer ones are cut into pieces of the capacity, the last being shorter. Pieces
+ordinary or with the string of a special token by the tokenizer itself, just as the file says); longer ones are cut into pieces of the capacity, the last being shorter. Pieces
 are dealt to partitions and each is packed by best-fit decreasing. Dual-feasible functions give a lower bound of the bins
 that a partition's pieces need; where it equals the bins used, the partition is certified and done. The partitions with
 a gap exchange documents: what lies in their bins that are not full, and in the emptiest bin of the others, is dealt anew
@@ -9,7 +9,8 @@ to half as many partitions or fewer and packed again, until no bin is open or on
 large the input, so a task's memory is bounded; the last round's single partition begins only when at most PART
 pieces are open, and otherwise open pieces stay as they are packed once rounds bring no fewer bins.
 
-A null or empty text is the end id alone. Repeated rows are packed like any other rows. A null id is kept. An empty
+A null or empty text is the end id alone. Repeated rows are packed like any other rows, and pieces are dealt by their place in
+the table too, so that equal rows do not meet in one partition. A null id is kept. An empty
 table gives an empty result. Only the id and text columns are read.
 """
 
@@ -27,8 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.bytebpe import NUMBER, Pairs, classes, replay
-from readloom.llm.common import as_bytes, blocks, cut, segment_hashes, small_batches, tidy, words
+from readloom.llm.bytebpe import NUMBER, Pairs, classes, gather, replay
+from readloom.llm.common import as_bytes, blocks, cut, gathered, segment_hashes, tidy, words
 
 CAPACITY, END_ID, PART = 4096, 1, 50_000
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -41,9 +42,7 @@ def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
-    return t
+    return Tokenizer.from_file(path)
 
 
 PLAIN = np.array([0x20 < c < 0x250 and c not in (0x27, 0x7F, 0x130) and not 0x80 <= c <= 0xA0 and c != 0xAD for c in range(0x251)])
@@ -80,6 +79,7 @@ class WordIds:
 
     def __init__(self, path: str) -> None:
         self.tokenizer = tokenizer(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.merges = word_merges(path)
         self.forget()
 
@@ -93,6 +93,7 @@ class WordIds:
             odd = ~PLAIN[np.minimum(cp, 0x250)]
             odd[ends] = False
             plain = np.diff(np.concatenate(([0], np.cumsum(odd)[ends]))) == 0
+            plain &= ~np.array([any(x in t for x in self.special) for t in texts], bool)
         got = self.tokenizer.encode_batch_fast([t for t, p in zip(texts, plain) if not p], add_special_tokens=False)
         sizes = np.zeros(len(texts), np.int64)
         sizes[~plain] = [len(g.ids) for g in got]
@@ -130,64 +131,84 @@ class WordIds:
         self.at = self.size = self.bytes = self.sums = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """ids of all texts, one after another, and each text's place in them."""
-        if len(self.hashes) > self.KNOWN:
-            self.forget()
+    def _split(self, texts: list[bytes]) -> tuple:
+        """The words of a block: where each text's begin, the distinct hashes, which each word has, lengths and sums; and the new ones."""
         cuts = np.cumsum([0, *map(len, texts)])
         data = np.frombuffer(b"".join(texts), np.uint8)
         starts, ends = words(data, cuts)
-        if not len(starts):
-            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         total = np.concatenate(([0], np.cumsum(data, dtype=np.int64)))
-        length, sums = ends - starts, total[ends] - total[starts]
+        length, sums = (ends - starts).astype(np.int32), total[ends] - total[starts]
         found, first, of = np.unique(segment_hashes(data, starts, ends), return_index=True, return_inverse=True)
         to = np.searchsorted(self.hashes, found)
         new = np.append(self.hashes, np.uint64(0))[to] != found
         new[to == len(self.hashes)] = True
-        if new.any():
-            i = first[new]
-            raw = data.tobytes()
-            got, sizes = self._new([raw[s:e].decode() for s, e in zip(starts[i].tolist(), ends[i].tolist())])
-            at = len(self.ids) + np.cumsum(sizes) - sizes
-            self.ids = np.concatenate((self.ids, got))
-            self.hashes = np.insert(self.hashes, to[new], found[new])
-            for name, x in (("at", at), ("size", sizes), ("bytes", length[i]), ("sums", sums[i])):
-                setattr(self, name, np.insert(getattr(self, name), to[new], x))
-        of = np.searchsorted(self.hashes, found)[of]
-        owner = np.searchsorted(cuts, starts, side="right") - 1
-        sizes = self.size[of]
-        place = np.concatenate(([0], np.cumsum(np.bincount(owner, sizes, len(texts)).astype(np.int64))))
-        end = np.cumsum(sizes)
-        ids = self.ids[np.repeat(self.at[of] - (end - sizes), sizes) + np.arange(int(end[-1]))]
-        if ((self.bytes[of] != length) | (self.sums[of] != sums)).any():  # two words of one hash
-            plain = [self.tokenizer.encode(t.decode(), add_special_tokens=False).ids for t in texts]
-            return np.array([x for p in plain for x in p], np.uint32), np.cumsum([0, *map(len, plain)])
-        return ids, place
+        i, raw = first[new], data.tobytes()
+        fresh = (found[new], length[i], sums[i], [raw[s:e] for s, e in zip(starts[i].tolist(), ends[i].tolist())])
+        return np.searchsorted(starts, cuts), found, of.astype(np.int32), length, sums, fresh
+
+    def _learn(self, fresh: list[tuple]) -> None:
+        """Merges the words that blocks have found new, all together."""
+        found, first = np.unique(np.concatenate([x[0] for x in fresh]), return_index=True)
+        if not len(found):
+            return
+        texts = [t for x in fresh for t in x[3]]
+        got, sizes = self._new([texts[i].decode() for i in first.tolist()])
+        to, at = np.searchsorted(self.hashes, found), len(self.ids) + np.cumsum(sizes) - sizes
+        self.ids, self.hashes = np.concatenate((self.ids, got)), np.insert(self.hashes, to, found)
+        for name, x in (("at", at), ("size", sizes), ("bytes", np.concatenate([x[1] for x in fresh])[first]), ("sums", np.concatenate([x[2] for x in fresh])[first])):
+            setattr(self, name, np.insert(getattr(self, name), to, x))
+
+    def encode(self, parts: list[list[bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each block of texts: the ids of all, one after another, and each text's place in them."""
+        if len(self.hashes) > self.KNOWN:
+            self.forget()
+        split = [self._split(texts) for texts in parts]
+        self._learn([x[-1] for x in split])
+        for texts, (bounds, found, of, length, sums, _) in zip(parts, split):
+            of = np.searchsorted(self.hashes, found)[of]
+            sizes = self.size[of]
+            end = np.concatenate(([0], np.cumsum(sizes)))
+            if (self.bytes[of] != length).any() or (self.sums[of] != sums).any():  # two words of one hash
+                plain = [self.tokenizer.encode(t.decode(), add_special_tokens=False).ids for t in texts]
+                yield np.array([x for p in plain for x in p], np.uint32), np.cumsum([0, *map(len, plain)])
+            else:
+                yield gather(self.ids, self.at[of], sizes), end[bounds]
+
+
+@lru_cache(2)
+def word_ids(path: str) -> WordIds:
+    """What a worker process knows; later tasks go on with it."""
+    return WordIds(path)
 
 
 def _pieces(path: str, capacity: int, end_id: int):
+    def cut_up(docs: pa.Array, flat: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+        n = len(docs)
+        begins = place + np.arange(n + 1)  # with an end id after each document
+        ids = np.full(begins[-1], end_id, "<u4")
+        inner = np.ones(len(ids), bool)
+        inner[begins[1:] - 1] = False
+        ids[inner] = flat
+        many = -(-np.diff(begins) // capacity)
+        doc = np.repeat(np.arange(n), many)
+        piece = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+        start = piece * capacity
+        size = np.minimum(np.diff(begins)[doc] - start, capacity)
+        raw, at = memoryview(ids.tobytes()), 4 * (begins[doc] + start)
+        crc = [zlib.crc32(raw[a:z]) for a, z in zip(at.tolist(), (at + 4 * size).tolist())]
+        return pa.RecordBatch.from_arrays([docs.take(pa.array(doc)), *(pa.array(x, k) for x, k in ((piece, pa.int32()), (start, pa.int64()), (size, pa.int64()), (crc, pa.int64())))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordIds(path)
-        for b in batches:
-            texts = as_bytes(b.column(1))
-            for s, e in blocks([len(t) for t in texts]):
-                flat, place = known.encode(texts[s:e])
-                rows: list[list] = [[] for _ in range(5)]
-                for k, doc in enumerate(b.column(0)[s:e].to_pylist()):
-                    ids = np.append(flat[place[k] : place[k + 1]], np.uint32(end_id)).astype("<u4")
-                    for piece, at in enumerate(range(0, len(ids), capacity)):
-                        part = ids[at : at + capacity]
-                        for col, x in zip(rows, (doc, piece, at, len(part), zlib.crc32(part.tobytes()))):
-                            col.append(x)
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        known = word_ids(path)
+        for group in gathered(batches):
+            parts = [(b.column(0)[s:e], texts[s:e]) for b in group for texts in [as_bytes(b.column(1))] for s, e in blocks([len(t) for t in texts])]
+            for (docs, _), (flat, place) in zip(parts, known.encode([t for _, t in parts])):
+                yield cut_up(docs, flat, place)
 
     return run
 
 
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(_pieces(path, capacity, end_id)), PIECE)
 
 
@@ -251,7 +272,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY, part: int = PART, keep: str
     parts = max(1, -(-found.count() // part))
     open_, done, number, last = found, [], 0, None
     while True:
-        key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(number)), F.lit(parts))
+        key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id(), F.lit(number)), F.lit(parts))
         dealt = open_.select(*[x.split()[0] for x in PIECE.split(", ")], key.cast("long").alias("part"), F.lit(number).alias("round"))
         packed = cut(dealt.groupBy("part").applyInPandas(_pack(capacity), PLACED), "packed")
         again = ((F.col("gap") > 0) | F.col("tail")) & (F.col("filled") < capacity)
