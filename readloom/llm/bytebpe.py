@@ -27,10 +27,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import as_bytes, blocks, gathered, segment_hashes, tidy
+from readloom.llm.common import BLOCK_BYTES, as_bytes, blocks, gathered, segment_hashes, tidy
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
-NONE = np.iinfo(np.int64).max
+NONE = np.iinfo(np.int32).max
 KNOWN = 1 << 19
 """Distinct pieces whose ids a worker process keeps; beyond it, it starts anew."""
 
@@ -54,13 +54,13 @@ class Pairs:
         self.n = n
         merges = sorted((a * n + b, c) for a, b, c in merges)
         self.keys = np.array([k for k, _ in merges] or [-1], np.int64)
-        self.made = np.array([c for _, c in merges] or [NONE], np.int64)
+        self.made = np.array([c for _, c in merges] or [NONE], np.int32)
 
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The token that each pair makes, or NONE."""
-        key = a * self.n + b
+        key = a.astype(np.int64) * self.n + b
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.made[at], NONE)
+        return np.where(self.keys[at] == key, self.made[at], np.int32(NONE))
 
 
 class Vocabulary:
@@ -72,7 +72,7 @@ class Vocabulary:
         self.pattern = regex.compile(pattern)
         self.tokens = {r: t for t, r in self.ranks.items()}
         n = max(self.tokens) + 1
-        self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
+        self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.sizes = np.array([len(self.tokens.get(i, b"")) for i in range(n)], np.int64)
         self.begins = np.concatenate(([0], np.cumsum(self.sizes)))
         self.bytes = np.frombuffer(b"".join(self.tokens.get(i, b"") for i in range(n)), np.uint8)
@@ -133,13 +133,14 @@ def replay(v: Pairs, sym: np.ndarray, begins: np.ndarray, alone: Callable[[int],
     n = len(sym)
     if not n:
         return np.zeros(0, np.int64), np.zeros(len(begins), np.int64)
-    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
-    word = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)  # 32 bits are enough for a group of blocks
+    word = np.repeat(np.arange(len(begins) - 1, dtype=np.int32), np.diff(begins))
     live = np.ones(n, bool)
     redo: set[int] = set()
-    due = np.full(n, NONE)  # the token that the pair beginning here makes
-    inner = np.flatnonzero(word[1:] == word[:-1])
-    due[inner] = v.rank_of(sym[inner], sym[inner + 1])
+    due = np.full(n, NONE, np.int32)  # the token that the pair beginning here makes
+    for s in range(0, n, BLOCK_BYTES):
+        at = s + np.flatnonzero(word[s + 1 : s + BLOCK_BYTES + 1] == word[s : s + BLOCK_BYTES][: len(word) - s - 1])
+        due[at] = v.rank_of(sym[at], sym[at + 1])
     index: dict[int, list[np.ndarray]] = {}
 
     def note(at: np.ndarray, ranks: np.ndarray) -> None:
@@ -154,10 +155,10 @@ def replay(v: Pairs, sym: np.ndarray, begins: np.ndarray, alone: Callable[[int],
             index[r].append(at[s:e])
 
     heap: list[int] = []
-    can = inner[due[inner] != NONE]
+    can = np.flatnonzero(due != NONE).astype(np.int32)
     if len(can):
         note(can, due[can])
-    ends = begins[1:][word]
+    ends = begins[1:].astype(np.int32)[word]
     while heap:
         r = heapq.heappop(heap)
         at = index.pop(r)

@@ -88,7 +88,7 @@ def blocks(sizes: list[int], most: int = BLOCK_BYTES) -> Iterator[tuple[int, int
         yield start, len(sizes)
 
 
-def gathered(batches: Iterator[pa.RecordBatch], most: int = 16 * BLOCK_BYTES, column: int = 1) -> Iterator[list[pa.RecordBatch]]:
+def gathered(batches: Iterator[pa.RecordBatch], most: int = 4 * BLOCK_BYTES, column: int = 1) -> Iterator[list[pa.RecordBatch]]:
     """Neighbouring batches whose texts add up to `most` bytes or little more, or one batch."""
     group, total = [], 0
     for b in batches:

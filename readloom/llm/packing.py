@@ -68,7 +68,7 @@ def word_merges(path: str) -> tuple[Pairs, np.ndarray, np.ndarray] | None:
     if any(x >= y for x, y in zip(made, made[1:])):
         return None
     pairs = Pairs([(vocab[a], vocab[b], m) for (a, b), m in zip(merges, made)], len(vocab) + 2)
-    return pairs, np.array([vocab[char[b]] for b in range(256)], np.int64), np.array([vocab[char[b] + end] for b in range(256)], np.int64)
+    return pairs, np.array([vocab[char[b]] for b in range(256)], np.int32), np.array([vocab[char[b] + end] for b in range(256)], np.int32)
 
 
 class WordIds:
