@@ -288,6 +288,35 @@ def test_knn_gives_bounded_batches():
     assert sum(x for x, _ in sizes) == 500 * n and max(x for _, x in sizes) < 8 << 20
 
 
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("several", [False, True])
+def test_places_are_shuffled_once(spark, several):
+    rows = [(k, d, k % 2 if several else 0, d, d + 1) for k in range(40) for d in range(k % 5 + 1)] + [(None, 1, 0, 0, 0), (3, None, 0, 0, 0)]
+    found = substrings.to_first(common.cut(spark.createDataFrame(rows, "key long, doc long, ver long, l int, r int"), "places"), several)
+    names = ["doc", "ver", "l", "r", "rep", "rver", "rl", "rr"]
+    want = [(d, v, x, y, 0, v, 0, 1) for k, d, v, x, y in rows if k is not None and d]
+    assert ordered(tuple(r[n] for n in names) for r in found.collect()) == ordered(want)
+    assert "ReusedExchange" in executed(found)
+
+
+def test_parts_are_shuffled_once(spark):
+    parts = common.cut(spark.createDataFrame([(d, 0, 64 * d, 64 * d + 64, d, f"text {d}".encode()) for d in range(30)], "doc long, ver long, lo int, hi int, at long, part binary"), "parts")
+    pairs = common.cut(spark.createDataFrame([(d // 3, 0, d, 0, 64 * d, 64 * d + 64, 64 * (d // 3), 64 * (d // 3) + 64) for d in range(1, 30)], "rep long, rver long, doc long, ver long, lo int, hi int, rlo int, rhi int"), "pairs")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = substrings.both_parts(pairs, parts)
+        got = ordered((r["doc"], r["ver"], r["rep"], r["lo"], r["at"], bytes(r["part"]), bytes(r["other"])) for r in rows.collect())
+        plan = executed(rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == ordered((d, 0, d // 3, 64 * d, d, f"text {d}".encode(), f"text {d // 3}".encode()) for d in range(1, 30))
+    assert "ReusedExchange" in plan
+
+
 def test_equal_rows_are_dealt_out(spark):
     rows = spark.createDataFrame([(None, "")] * 60, "doc_id long, text string").repartition(3)
     found = common.cut(packing.pieces(rows, public_tokenizers.path("word_bpe_49k.json")), "equal")
